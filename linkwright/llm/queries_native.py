@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linkwright.llm.exact_dedup import exact_groups
 from linkwright.llm.mixing import measured, mixture_plan, planned
+from linkwright.llm.url_filter import Rule, judge
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -56,5 +57,19 @@ SELECT doc_id, size, source_size, target,
 FROM x
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing}
+#: Host, path and verdict of the rules.
+RULES = [
+    Rule("org", "/", "allow"),
+    Rule("example.org", "/es/", "block"),
+    Rule("example.org", "/en/1", "block"),
+    Rule("com", "/fr/", "allow"),
+    Rule("com", "/de/", "block"),
+]
+
+
+def op10_url_filter(spark, sf_dir):
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkwright.llm import queries_native
+from linkwright.llm import queries_free, queries_native
 
-QUERIES = {**queries_native.QUERIES}
+QUERIES = {**queries_native.QUERIES, **queries_free.QUERIES}
 ORACLES = {**queries_native.ORACLES}
