@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from linkwright.llm.packing import pack
 from linkwright.llm.simhash import simhash_groups
+from linkwright.llm.warc import archived
 
 
 def documents(spark, sf_dir):
@@ -26,4 +27,8 @@ def op7_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), word_tokenizer(), with_ids=False)
 
 
-QUERIES = {"op7_packing": op7_packing, "op8_simhash": op8_simhash}
+def op3_warc(spark, sf_dir):
+    return archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+QUERIES = {"op3_warc": op3_warc, "op7_packing": op7_packing, "op8_simhash": op8_simhash}
