@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from linkwright.llm import language, toxicity
 from linkwright.llm.packing import pack
+from linkwright.llm.secret_scan import scan
 from linkwright.llm.simhash import simhash_groups
+from linkwright.llm.training import fold
 from linkwright.llm.warc import archived
 
 
@@ -31,4 +36,20 @@ def op3_warc(spark, sf_dir):
     return archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
-QUERIES = {"op3_warc": op3_warc, "op7_packing": op7_packing, "op8_simhash": op8_simhash}
+def op5_language(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language.train(docs.where(fold(F.col("doc_id"), 4) != 2))
+    return language.identify(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_secrets(spark, sf_dir):
+    return scan(documents(spark, sf_dir), with_secrets=False)
+
+
+def op9_toxicity(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op5_language": op5_language, "op6_secrets": op6_secrets, "op9_toxicity": op9_toxicity, "op3_warc": op3_warc, "op7_packing": op7_packing, "op8_simhash": op8_simhash}
