@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkwright.llm import language, toxicity
+from linkwright.llm.embedding_dedup import embedding_groups
 from linkwright.llm.packing import pack
 from linkwright.llm.secret_scan import scan
 from linkwright.llm.simhash import simhash_groups
@@ -36,6 +37,10 @@ def op3_warc(spark, sf_dir):
     return archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op4_embeddings(spark, sf_dir):
+    return embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_language(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = language.train(docs.where(fold(F.col("doc_id"), 4) != 2))
@@ -52,4 +57,4 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op5_language": op5_language, "op6_secrets": op6_secrets, "op9_toxicity": op9_toxicity, "op3_warc": op3_warc, "op7_packing": op7_packing, "op8_simhash": op8_simhash}
+QUERIES = {"op4_embeddings": op4_embeddings, "op5_language": op5_language, "op6_secrets": op6_secrets, "op9_toxicity": op9_toxicity, "op3_warc": op3_warc, "op7_packing": op7_packing, "op8_simhash": op8_simhash}
