@@ -192,7 +192,7 @@ def train(
     """A model from labelled rows: a sample of about most_docs of them by a hash of the id, at most most_terms terms.
 
     A term is a word or stem that at least `support` toxic texts (and support_share of them) and hardly any others
-    have; of copies and near copies, told by the least hash of their shingles, one counts. Null labels are left out.
+    have, enough for chance to make hardly any such term of the vocabulary; of copies and near copies, told by the least hash of their shingles, one counts. Null labels are left out.
     Texts with contradicting labels count for both. Without toxic and other texts the model has no terms.
     """
     rows = labels.where(F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("kind")).distinct()
@@ -207,7 +207,9 @@ def train(
     counts = class_counts(found, split, once=True).groupBy("word").agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("good"))
     counts = save(counts, "term-counts")
     odds = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1)))
-    terms = counts.withColumn("odds", odds).where(f"bad >= {max(support, ceil(support_share * bad))} and odds > 3.0 and good * 50 <= bad").orderBy(F.desc("bad"), F.desc("odds"), "word").limit(most_terms)
+    by_chance = log(10 * max(1, counts.count())) / log((bad + good) / bad)
+    least = max(support, ceil(support_share * bad), ceil(by_chance))
+    terms = counts.withColumn("odds", odds).where(f"bad >= {least} and odds > 3.0 and good * 50 <= bad").orderBy(F.desc("bad"), F.desc("odds"), "word").limit(most_terms)
     model = Model({r["word"]: min(r["odds"], 8.0) for r in terms.collect()})
     if not model.terms:
         return Model({}, weights=[log(bad / good), 0, 0, 0, 0, 0])
