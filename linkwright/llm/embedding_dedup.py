@@ -40,7 +40,7 @@ class Found:
                 root[:] = up
 
 
-def near_pairs(q: np.ndarray, x: np.ndarray, graph: Graph, least: float, same: bool, beam: int = 64, recall: float = 0.995, audits: int = 256) -> Found:
+def near_pairs(q: np.ndarray, x: np.ndarray, graph: Graph, least: float, same: bool, beam: int = 64, recall: float = 0.999, audits: int = 256) -> Found:
     """Links of cosine >= least between unit vectors (double precision) q and those of a graph, x; same: q is x.
 
     Beams start at `beam` wide. A query at least half of whose beam are links is compared with all of the shard

@@ -35,6 +35,31 @@ class Graph:
         while at < n:  # the first batches are small, so that there is a graph to search
             self._insert(np.arange(at, min(n, at + size)), beam)
             at, size = at + size, min(BATCH, size * 2)
+        self._connect(beam)
+
+    def _reached(self) -> np.ndarray:
+        """Which vectors the lowest layer's lists lead to from the entry point."""
+        seen, new = np.zeros(len(self.x), dtype=bool), np.zeros(min(1, len(self.x)), dtype=np.int64)
+        while len(new):
+            seen[new] = True
+            near = np.unique(self.near[0][new])
+            new = near[(near >= 0)]
+            new = new[~seen[new]]
+        return seen
+
+    def _connect(self, beam: int, extra: int = 8) -> None:
+        """Lists crowded by equal vectors can leave others behind: each is added to the list of the nearest that is reached."""
+        while not (seen := self._reached()).all():
+            lost = np.flatnonzero(~seen)
+            nearest = np.concatenate([self.search(self.x[lost[k : k + BATCH]], beam)[0][:, 0] for k in range(0, len(lost), BATCH)])
+            order = np.argsort(nearest, kind="stable")
+            lost, nearest = lost[order], nearest[order]
+            _, first, count = np.unique(nearest, return_index=True, return_counts=True)
+            place = np.arange(len(lost)) - np.repeat(first, count)
+            more = np.full((len(self.x), extra), -1, dtype=np.int32)
+            fits = place < extra
+            more[nearest[fits], place[fits]] = lost[fits]
+            self.near[0] = np.concatenate([self.near[0], more[:, : int(place[fits].max()) + 1]], axis=1)
 
     def _beam(self, layer: int, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities), best first, -1 where a beam isn't full."""
@@ -160,5 +185,5 @@ class Graph:
         with np.load(io.BytesIO(data)) as z:
             layers = len(z.files) // 2
             graph.near, graph.row = [z[f"near{k}"] for k in range(layers)], [z[f"row{k}"] for k in range(layers)]
-        graph.degree = graph.near[0].shape[1] // 2
+        graph.degree = graph.near[-1].shape[1] if layers > 1 else graph.near[0].shape[1] // 2
         return graph
