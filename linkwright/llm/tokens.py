@@ -35,7 +35,7 @@ class Encoder:
     reach `most` entries, so memory is bounded.
     """
 
-    def __init__(self, definition: str, most: int = 400_000):
+    def __init__(self, definition: str, most: int = 900_000):
         self.tokenizer = Tokenizer.from_str(definition)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocab.values(), default=0) < 65536 else "<u4")
@@ -54,7 +54,8 @@ class Encoder:
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
-                self.words.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+                flat, cuts = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+                self.words.update(zip(part, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
             else:
                 self.words.update((w, self._direct(w)) for w in part)
 
@@ -65,7 +66,7 @@ class Encoder:
             self.words.clear()
         split = {}
         for chunk in new:
-            if PLAIN(chunk) and not any(t in chunk for t in self.special):
+            if PLAIN(chunk):
                 split[chunk] = WORD(chunk.lower())
             else:
                 self.chunks[chunk] = self._direct(chunk)
@@ -83,7 +84,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if UNUSUAL.search(text):
+            if UNUSUAL.search(text) or any(t in text for t in self.special):
                 found[i] = self._direct(text)
                 continue
             chunks = text.split()
