@@ -2,9 +2,478 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkwright.functions import acronyms as acr
+from linkwright.functions import scalar
+from linkwright.functions.fuzzy import fuzzy
+from linkwright.operators import analysis, candidates, prematch, ranking, scoring, tables
+from linkwright.plans import fixtures as fx
+from linkwright.plans.fixtures import AUTO, FLOOR, GAP, SCORED, SIM, SQL, TOP
+from linkwright.streaming import enroll, events
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r4(name: str, c=None):
+    return F.round(F.col(name) if c is None else c, 4).alias(name)
+
+
+def names_crossed(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different part names that occur in one brand."""
+    n = fx.table(spark, d, "part").select("p_brand", F.col("p_name").alias("x")).distinct()
+    return n.join(n.withColumnRenamed("x", "y"), "p_brand").select("x", "y").distinct()
+
+
+NAMES = "SELECT DISTINCT p.p_name AS x, q.p_name AS y FROM part p JOIN part q USING (p_brand)"
+CB, SA = SQL["cb"], SQL["sa"]
+
+# --- sources and projections ---
+
+
+@query(f"SELECT * FROM ({CB})")
+def load_string_cast(spark, d):
+    return fx.customers(spark, d)
+
+
+# --- blocking ---
+
+
+@query(f"SELECT b_id, a_id FROM ({CB}) JOIN ({SQL['pa']}) ON trim(lower(b_balance)) = trim(lower(a_size)) WHERE b_balance <> ''")
+def block_candidates(spark, d):
+    return candidates.block_pairs(fx.customers(spark, d), fx.parts(spark, d, "a"), [("b_balance", "a_size")], all_if_keyless=False)
+
+
+@query(
+    f"SELECT b_id, a_id FROM ({CB}) JOIN ({SA}) ON (b_nation = '' OR lower(trim(b_nation)) = lower(trim(a_nation))) AND (b_balance = '' OR lower(trim(b_balance)) = lower(trim(a_balance)))"
+)
+def block_partial_key(spark, d):
+    return candidates.block_pairs(fx.customers(spark, d), fx.suppliers(spark, d), [("b_nation", "a_nation"), ("b_balance", "a_balance")])
+
+
+# --- pairs without scoring ---
+
+COMMON = f"""
+SELECT a_id, b_id, 1.0::DOUBLE AS score, 'canonical' AS reason
+FROM (SELECT trim(a_tax) AS k, max(a_id) AS a_id FROM ({SA}) WHERE trim(a_tax) <> '' GROUP BY 1)
+JOIN (SELECT trim(b_tax) AS k, min(b_id) AS b_id FROM ({CB}) WHERE trim(b_tax) <> '' GROUP BY 1) USING (k)"""
+PREFILTER = f"""
+common AS ({COMMON}),
+ka AS (SELECT lower(trim(a_nation)) AS n, lower(trim(a_balance)) AS m, max(a_id) AS a_id FROM ({SA}) WHERE trim(a_nation) <> '' AND trim(a_balance) <> '' GROUP BY 1, 2),
+kb AS (SELECT lower(trim(b_nation)) AS n, lower(trim(b_balance)) AS m, min(b_id) AS b_id FROM ({CB})
+       WHERE trim(b_nation) <> '' AND trim(b_balance) <> '' AND b_id NOT IN (SELECT b_id FROM common) GROUP BY 1, 2),
+exact AS (SELECT a_id, b_id, 1.0::DOUBLE AS score, 'exact' AS reason FROM ka JOIN kb USING (n, m) WHERE a_id NOT IN (SELECT a_id FROM common))"""
+
+
+def _common(spark, d):
+    return prematch.common_id_match(fx.suppliers(spark, d), fx.customers(spark, d), "a_tax", "b_tax")
+
+
+@query(COMMON)
+def common_id_match(spark, d):
+    return _common(spark, d)
+
+
+def _exact(spark, d, mapped):
+    return prematch.exact_prefilter(fx.suppliers(spark, d), fx.customers(spark, d), [("a_nation", "b_nation"), ("a_balance", "b_balance")], mapped)
+
+
+@query(f"WITH {PREFILTER} SELECT * FROM exact")
+def exact_prefilter(spark, d):
+    return _exact(spark, d, _common(spark, d))
+
+
+NATION_PAIRS = f"SELECT b_id, a_id FROM ({CB}) JOIN ({SA}) ON b_nation = a_nation"
+
+
+def _nation_pairs(spark, d):
+    return candidates.block_pairs(fx.customers(spark, d), fx.suppliers(spark, d), [("b_nation", "a_nation")], all_if_keyless=False)
+
+
+@query(f"WITH {PREFILTER} SELECT b_id, a_id FROM ({NATION_PAIRS}) p WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE (e.a_id = p.a_id AND e.b_id = p.b_id) OR (e.a_id = p.b_id AND e.b_id = p.a_id))")
+def exclusion_filter(spark, d):
+    return candidates.without_excluded(_nation_pairs(spark, d), _exact(spark, d, _common(spark, d))).select("b_id", "a_id")
+
+
+# --- scalar scores ---
+
+
+@query(f"SELECT b_id, a_id, (lower(trim(a_balance)) = lower(trim(b_balance)) AND trim(a_balance) <> '')::INT::DOUBLE AS score FROM ({CB}) JOIN ({SA}) ON b_nation = a_nation")
+def score_exact(spark, d):
+    pairs = _nation_pairs(spark, d).join(fx.customers(spark, d), "b_id").join(fx.suppliers(spark, d), "a_id")
+    return pairs.select("b_id", "a_id", scalar.exact(F.col("a_balance"), F.col("b_balance")).alias("score"))
+
+
+@query(
+    f"""SELECT b_id, a_id, coalesce(abs(x - y) <= 1e-9 * greatest(1, abs(x), abs(y)), false)::INT::DOUBLE AS score
+    FROM (SELECT b_id, a_id, TRY_CAST(a_balance AS DOUBLE) AS x, TRY_CAST(concat(' ', b_balance, '.0 ') AS DOUBLE) AS y FROM ({CB}) JOIN ({SA}) ON b_nation = a_nation)"""
+)
+def score_numeric(spark, d):
+    pairs = _nation_pairs(spark, d).join(fx.customers(spark, d), "b_id").join(fx.suppliers(spark, d), "a_id")
+    return pairs.select("b_id", "a_id", scalar.numeric(F.col("a_balance"), F.concat(F.lit(" "), F.col("b_balance"), F.lit(".0 "))).alias("score"))
+
+
+def _fuzzy_query(name: str, column: str) -> None:
+    def run(spark, d):
+        return names_crossed(spark, d).select("x", "y", F.round(fuzzy(name, F.col("x"), F.col("y")), 4).alias("score"))
+
+    QUERIES[f"fuzzy_{column}"] = run
+    ORACLES[f"fuzzy_{column}"] = f"WITH {SIM} SELECT n.x, n.y, round({column}, 4) AS score FROM ({NAMES}) n JOIN sim ON sim.x = lower(trim(n.x)) AND sim.y = lower(trim(n.y))"
+
+
+for _name, _column in (("ratio", "ratio"), ("token_sort", "token_sort"), ("partial_ratio", "partial"), ("wratio", "wratio")):
+    _fuzzy_query(_name, _column)
+
+# --- BM25 ---
+
+TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+BM25 = f"""
+dt AS (SELECT item_id::VARCHAR AS a_id, {TOKENS.format("text")} AS t FROM benchmark),
+st AS (SELECT count(*)::DOUBLE AS docs, sum(len(t))::DOUBLE / count(*) AS average FROM dt),
+po AS (SELECT a_id, term, len(any_value(t))::DOUBLE AS length, count(*)::DOUBLE AS tf FROM (SELECT a_id, t, unnest(t) AS term FROM dt) GROUP BY a_id, term),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM po GROUP BY term),
+we AS (SELECT a_id, term, ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average)) AS w FROM po JOIN df USING (term), st),
+qt AS (SELECT doc_id::VARCHAR AS b_id, {TOKENS.format("text")} AS t FROM documents),
+qc AS (SELECT b_id, term, len(any_value(t))::DOUBLE AS length, count(*)::DOUBLE AS tf FROM (SELECT b_id, t, unnest(t) AS term FROM qt) GROUP BY b_id, term),
+raw AS (SELECT b_id, a_id, sum(w) AS raw FROM qc JOIN we USING (term) GROUP BY b_id, a_id),
+own AS (SELECT b_id, sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS own FROM qc JOIN df USING (term), st GROUP BY b_id),
+top AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY round(raw, 6) DESC, a_id) <= 10)"""
+
+
+@query(f"SELECT doc_id::VARCHAR AS b_id, array_to_string({TOKENS.format('text')}, ' ') AS tokens FROM documents")
+def tokenise(spark, d):
+    return fx.documents(spark, d).select("b_id", F.array_join(scalar.tokens(F.col("b_text")), " ").alias("tokens"))
+
+
+@query(f"WITH {BM25} SELECT count(*) AS docs, sum(len(t))::BIGINT AS all_tokens, round(sum(len(t)) / count(*), 4) AS average FROM dt")
+def bm25_corpus_stats(spark, d):
+    return candidates.corpus_stats(fx.items(spark, d)).select("docs", "all_tokens", r4("average"))
+
+
+def _bm25_top(spark, d):
+    raw = candidates.bm25_raw(fx.documents(spark, d), fx.items(spark, d)).withColumn("shown", F.round("raw", 6))
+    return candidates.top_k(raw, "shown", 10)
+
+
+@query(f"WITH {BM25} SELECT b_id, a_id, round(raw, 4) AS raw FROM top")
+def bm25_topk(spark, d):
+    return _bm25_top(spark, d).select("b_id", "a_id", r4("raw"))
+
+
+@query(f"WITH {BM25} SELECT b_id, round(own, 4) AS own FROM own")
+def bm25_self_score(spark, d):
+    return candidates.bm25_self(fx.documents(spark, d), fx.items(spark, d)).select("b_id", r4("own"))
+
+
+@query(f"WITH {BM25} SELECT b_id, a_id, round(CASE WHEN own > 0 THEN greatest(0, least(1, raw::FLOAT::DOUBLE / own::FLOAT::DOUBLE)) ELSE 0 END, 4) AS bm25 FROM top JOIN own USING (b_id)")
+def bm25_normalised(spark, d):
+    own = candidates.bm25_self(fx.documents(spark, d), fx.items(spark, d))
+    return _bm25_top(spark, d).join(own, "b_id").select("b_id", "a_id", r4("bm25", scalar.bm25_normalised(F.col("raw"), F.col("own"))))
+
+
+# --- acronyms and synonyms ---
+
+LISTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+WORDS = r"list_filter(regexp_split_to_array(regexp_replace(text, '[^\p{L}\p{N}&\s-]', '', 'g'), '[\s-]+'), lambda w: w <> '')"
+LEADS = "array_to_string(list_transform({0}, lambda w: translate(w[1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')), '')"
+ACRONYMS = f"""
+w AS (SELECT item_id, text, {WORDS} AS words FROM benchmark),
+k AS (SELECT *, list_filter(words, lambda w: NOT list_contains({LISTED(acr.CONNECTORS)}, lower(w))) AS nc,
+             list_filter(words, lambda w: NOT list_contains({LISTED(acr.LEGAL_SUFFIXES)}, lower(w))) AS ns,
+             list_filter(words, lambda w: NOT list_contains({LISTED(acr.CONNECTORS + acr.LEGAL_SUFFIXES)}, lower(w))) AS plain FROM w),
+f AS (SELECT item_id, text, plain, [{LEADS.format("plain")}, {LEADS.format("ns")}, {LEADS.format("nc")}, {LEADS.format("words")}] AS forms FROM k),
+acr AS (SELECT item_id, text, CASE WHEN len(plain) >= 2 THEN list_sort(list_distinct(list_filter(forms, lambda x: strlen(x) >= 3))) ELSE []::VARCHAR[] END AS short FROM f)"""
+
+
+@query(f"WITH {ACRONYMS} SELECT item_id, array_to_string(short, ',') AS short FROM acr")
+def acronym_variants(spark, d):
+    return fx.table(spark, d, "benchmark").select("item_id", F.array_join(acr.acronyms(F.col("text")), ",").alias("short"))
+
+
+@query(f"WITH {ACRONYMS} SELECT x.item_id, (x.text <> '' AND list_contains(x.short, upper(x.short[1])))::INT::DOUBLE AS score FROM acr x")
+def acronym_score(spark, d):
+    items = fx.table(spark, d, "benchmark").withColumn("short", F.get(acr.acronyms(F.col("text")), F.lit(0)))
+    return items.select("item_id", acr.synonym_score(F.col("text"), F.lower("short")).alias("score"))
+
+
+@query(f"WITH {ACRONYMS}, q AS (SELECT item_id::VARCHAR AS b_id, upper(unnest(short)) AS key FROM acr) SELECT DISTINCT b_id, y.item_id::VARCHAR AS a_id FROM q JOIN (SELECT item_id, unnest(list_concat([upper(trim(text))], short)) AS key FROM acr) y USING (key)")
+def synonym_candidates(spark, d):
+    items = fx.table(spark, d, "benchmark")
+    short = items.select(F.col("item_id").cast("string").alias("b_id"), F.explode(acr.acronyms(F.col("text"))).alias("b_name"))
+    return candidates.synonym_pairs(short, items.select(F.col("item_id").cast("string").alias("a_id"), F.col("text").alias("a_name")), "b_name", "a_name")
+
+
+DICTIONARY = [["Small Ring", "Red Widget"], ["red widget ", "BLUE BOLT"], ["Hot Gear", "small gizmo", "hot gear"], ["alone"], ["old anvil", "", "new gear"]]
+
+
+@query(
+    "WITH RECURSIVE d(r, t) AS (VALUES "
+    + ", ".join(f"({k}, '{t.strip().upper()}')" for k, row in enumerate(DICTIONARY) for t in row if t.strip() and len({x.strip().upper() for x in row if x.strip()}) > 1)
+    + """), e AS (SELECT DISTINCT x.t AS u, y.t AS v FROM d x JOIN d y USING (r)),
+    g(u, v) AS (SELECT u, v FROM e UNION SELECT g.u, e.v FROM g JOIN e ON g.v = e.u),
+    m AS (SELECT u AS term, min(v) AS root FROM g GROUP BY u)
+    SELECT p_partkey, term, (dense_rank() OVER (ORDER BY root) - 1)::INT AS group_id
+    FROM m LEFT JOIN part ON upper(trim(p_name)) = term"""
+)
+def synonym_groups(spark, d):
+    groups = tables.synonym_groups(spark, DICTIONARY)
+    return groups.join(fx.table(spark, d, "part").select("p_partkey", F.upper(F.trim("p_name")).alias("term")), "term", "left").select("p_partkey", "term", "group_id")
+
+
+# --- vectors ---
+
+UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
+COSINES = f"""
+v AS (SELECT vec_id::VARCHAR AS id, label, {UNIT} AS u FROM embeddings),
+c AS (SELECT q.id AS b_id, p.id AS a_id, greatest(0, least(1, list_dot_product(q.u, p.u))) AS similarity FROM v q JOIN v p USING (label) WHERE q.id <> p.id)"""
+
+
+def _vectors(spark, d, side):
+    return fx.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias(f"{side}_id"), F.col("label").cast("string").alias(f"{side}_label"), F.col("embedding").alias(f"{side}_vector"))
+
+
+@query(f"WITH {COSINES} SELECT b_id, a_id, round(similarity, 4) AS similarity FROM c QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY round(similarity, 9) DESC, a_id) <= 10")
+def cosine_topk(spark, d):
+    q, p = _vectors(spark, d, "b"), _vectors(spark, d, "a")
+    pairs = candidates.without_self(candidates.block_pairs(q, p, [("b_label", "a_label")], all_if_keyless=False))
+    near = candidates.nearest_vectors(q, p, pairs, 0).withColumn("shown", F.round("similarity", 9))
+    return candidates.top_k(near, "shown", 10).select("b_id", "a_id", r4("similarity"))
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, {UNIT} AS u FROM embeddings)
+    SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * sqrt(0.3::DOUBLE) * x * sqrt(0.3::DOUBLE))) / 0.3::DOUBLE, 4) AS first,
+           round(list_sum(list_transform(u, lambda x: x * sqrt(0.2::DOUBLE) * x * sqrt(0.2::DOUBLE))) / 0.2::DOUBLE, 4) AS second FROM v"""
+)
+def combined_vector(spark, d):
+    v = fx.table(spark, d, "embeddings").select("vec_id", scalar.combined([(F.col("embedding"), 0.3), (F.reverse("embedding"), 0.2)]).alias("c"), F.size("embedding").alias("n"))
+    return v.select("vec_id", r4("first", scalar.decomposed(F.col("c"), F.col("c"), 0, 64, 0.3)), r4("second", scalar.decomposed(F.col("c"), F.col("c"), 64, 64, 0.2)))
+
+
+# --- union, composite, ranks ---
+
+
+@query(
+    f"""WITH {PREFILTER}, u AS (SELECT b_id, a_id, true AS n, false AS x FROM ({NATION_PAIRS}) UNION ALL SELECT b_id, a_id, false, true FROM exact)
+    SELECT b_id, a_id, bool_or(n) AS from_nation, bool_or(x) AS from_exact FROM u GROUP BY b_id, a_id"""
+)
+def candidate_union(spark, d):
+    return candidates.union_candidates(nation=_nation_pairs(spark, d), exact=_exact(spark, d, _common(spark, d)))
+
+
+def _part_scores(spark, d):
+    a, b = fx.parts(spark, d, "a"), fx.parts(spark, d, "b")
+    pairs = candidates.without_self(candidates.block_pairs(b, a, [("b_brand", "a_brand"), ("b_type", "a_type")], all_if_keyless=False))
+    return scoring.scored(pairs.join(b.select("b_id", "b_name", "b_size"), "b_id").join(a.select("a_id", "a_name", "a_size"), "a_id"), fx.PART_FIELDS)
+
+
+def _part_ranks(spark, d):
+    return ranking.ranked(_part_scores(spark, d), AUTO, FLOOR, GAP, TOP)
+
+
+@query(f"WITH {SCORED} SELECT b_id, a_id, round(score, 4) AS score FROM scored")
+def composite_score(spark, d):
+    return _part_scores(spark, d).select("b_id", "a_id", r4("score"))
+
+
+@query(f"WITH {SCORED} SELECT b_id, a_id, round(score, 4) AS score, rank, reason, classification FROM ranks")
+def rank_gap_check(spark, d):
+    return _part_ranks(spark, d).select("b_id", "a_id", r4("score"), "rank", "reason", "classification")
+
+
+@query(f"WITH {SCORED} SELECT b_id, CASE WHEN score >= {AUTO} THEN 'auto' WHEN score >= {FLOOR} THEN 'review' ELSE 'no_match' END AS top FROM ranks WHERE rank = 1")
+def classify(spark, d):
+    return _part_ranks(spark, d).where("rank = 1").select("b_id", scalar.classify(F.col("score"), AUTO, FLOOR).alias("top"))
+
+
+CLAIMED = f"""{SCORED},
+ed AS (SELECT b_id, list(a_id ORDER BY rank) AS wants FROM ranks WHERE score >= {AUTO} GROUP BY b_id),
+turn AS (SELECT *, row_number() OVER (ORDER BY b_id) AS n FROM ed),
+serial(n, b_id, a_id, taken) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[]
+  UNION ALL
+  SELECT n, b_id, free[1], CASE WHEN len(free) > 0 THEN list_append(taken, free[1]) ELSE taken END
+  FROM (SELECT t.n, t.b_id, s.taken, list_filter(t.wants, lambda x: NOT list_contains(s.taken, x)) AS free FROM serial s JOIN turn t ON t.n = s.n + 1)),
+claimed AS (SELECT r.* FROM serial s JOIN ranks r USING (b_id, a_id)),
+walk AS (SELECT b_id, arg_min(a_id, rank) AS a_id, arg_min(score, rank) AS score, arg_min(rank, rank) AS rank, arg_min(reason, rank) AS reason
+         FROM ranks WHERE score < {AUTO} AND b_id NOT IN (SELECT b_id FROM claimed) GROUP BY b_id),
+best AS (SELECT b_id, arg_min(a_id, rank) AS a_id, arg_min(score, rank) AS score, arg_min(rank, rank) AS rank FROM ranks GROUP BY b_id),
+rel AS (
+  SELECT b_id, 'match' AS relationship_type, a_id, score, rank, reason FROM claimed
+  UNION ALL
+  SELECT p.b_id, CASE WHEN w.score >= {FLOOR} THEN 'review' ELSE 'no_match' END, coalesce(w.a_id, b.a_id), coalesce(w.score, b.score), coalesce(w.rank, b.rank),
+         CASE WHEN w.score >= {FLOOR} THEN w.reason ELSE 'below_floor' END
+  FROM pb p LEFT JOIN walk w USING (b_id) LEFT JOIN best b USING (b_id) WHERE p.b_id NOT IN (SELECT b_id FROM claimed))"""
+CLAIMED = f"RECURSIVE {CLAIMED}"
+
+
+def _outcomes(spark, d):
+    ranks = _part_ranks(spark, d)
+    claims = ranking.claim(ranks, AUTO)
+    return ranking.outcomes(ranks, claims, fx.parts(spark, d, "b"), AUTO, FLOOR)
+
+
+@query(f"WITH {CLAIMED} SELECT b_id, a_id, round(score, 4) AS score, rank, reason FROM claimed")
+def claim_one_to_one(spark, d):
+    return ranking.claim(_part_ranks(spark, d), AUTO).select("b_id", "a_id", r4("score"), "rank", "reason")
+
+
+@query(f"WITH {CLAIMED} SELECT b_id, relationship_type, a_id, round(score, 4) AS score, rank, reason FROM rel")
+def relationships(spark, d):
+    return _outcomes(spark, d).select("b_id", "relationship_type", "a_id", r4("score"), "rank", "reason")
+
+
+@query(f"WITH {CLAIMED} SELECT a_id FROM pa WHERE NOT EXISTS (SELECT 1 FROM rel WHERE rel.a_id = pa.a_id AND relationship_type IN ('match', 'review'))")
+def unmatched_a(spark, d):
+    return tables.unmatched(fx.parts(spark, d, "a").select("a_id"), _outcomes(spark, d), "a")
+
+
+@query(f"WITH {CLAIMED} SELECT b_id FROM pb WHERE NOT EXISTS (SELECT 1 FROM rel WHERE rel.b_id = pb.b_id AND relationship_type IN ('match', 'review'))")
+def unmatched_b(spark, d):
+    return tables.unmatched(fx.parts(spark, d, "b").select("b_id"), _outcomes(spark, d), "b")
+
+
+@query(f"WITH {CLAIMED} SELECT relationship_type, reason, count(*) AS count, round(avg(score), 4) AS avg_score, round(min(score), 4) AS min_score, round(max(score), 4) AS max_score FROM rel GROUP BY 1, 2")
+def summary_view(spark, d):
+    return analysis.summary(_outcomes(spark, d)).select("relationship_type", "reason", "count", r4("avg_score"), r4("min_score"), r4("max_score"))
+
+
+@query(f"WITH {CLAIMED} SELECT rel.a_id, rel.b_id, round(rel.score, 4) AS composite_score, relationship_type, f.field, round(f.value, 4) AS field_score FROM rel LEFT JOIN (SELECT a_id, b_id, unnest(['name', 'size']) AS field, unnest([name_score, size_score]) AS value FROM ranks) f ON f.a_id = rel.a_id AND f.b_id = rel.b_id")
+def relationship_detail(spark, d):
+    ranks = _part_ranks(spark, d)
+    rel = _outcomes(spark, d)
+    f = ranks.select("a_id", "b_id", F.explode("field_scores").alias("f")).where("f.method <> 'numeric'")
+    f = f.select("a_id", "b_id", F.col("f.field_a").alias("field"), F.col("f.score").alias("field_score"))
+    return rel.join(f, ["a_id", "b_id"], "left").select("a_id", "b_id", F.round("score", 4).alias("composite_score"), "relationship_type", "field", r4("field_score"))
+
+
+@query(f"WITH {CLAIMED} SELECT b_id, a_id, rank, round(score, 4) AS score FROM ranks WHERE rank > 1")
+def runner_ups(spark, d):
+    return _part_ranks(spark, d).where("rank > 1").select("b_id", "a_id", "rank", r4("score"))
+
+
+@query(
+    f"""WITH common AS ({COMMON}), x AS (SELECT (SELECT count(*) FROM supplier) AS a_total, (SELECT count(*) FROM customer) AS b_total, (SELECT count(*) FROM common) AS n)
+    SELECT a_total, n AS a_matched, a_total - n AS a_unmatched, round(n / a_total, 4) AS a_coverage, b_total, n AS b_matched, b_total - n AS b_unmatched, round(n / b_total, 4) AS b_coverage FROM x"""
+)
+def coverage_stats(spark, d):
+    out = analysis.coverage(fx.suppliers(spark, d), fx.customers(spark, d), _common(spark, d))
+    return out.select("a_total", "a_matched", "a_unmatched", r4("a_coverage"), "b_total", "b_matched", "b_unmatched", r4("b_coverage"))
+
+
+# --- tuning: a part's truth is the smallest other part of its brand, type and name ---
+
+TRUTH = "truth AS (SELECT b.b_id, min(a.a_id) AS true_a_id FROM pb b JOIN pa a ON a.a_name = b.b_name AND a.a_brand = b.b_brand AND a.a_type = b.b_type AND a.a_id <> b.b_id GROUP BY b.b_id)"
+JUDGED = f"""{CLAIMED}, {TRUTH},
+judged AS (
+  SELECT rel.*, true_a_id,
+         CASE relationship_type WHEN 'match' THEN CASE WHEN a_id = true_a_id THEN 'auto_tp' ELSE 'auto_fp' END
+              WHEN 'review' THEN CASE WHEN a_id = true_a_id THEN 'review_tp' ELSE 'review_fp' END
+              ELSE CASE WHEN true_a_id IS NOT NULL THEN 'fn' ELSE 'tn' END END AS verdict, coalesce(score, 0) AS s
+  FROM rel LEFT JOIN truth USING (b_id)),
+popd AS (SELECT *, CASE WHEN verdict IN ('auto_tp', 'review_tp', 'fn') THEN 'match' ELSE 'nonmatch' END AS population FROM judged)"""
+
+
+def _judged(spark, d):
+    a, b = fx.parts(spark, d, "a"), fx.parts(spark, d, "b")
+    same = b.join(a, (F.col("a_name") == F.col("b_name")) & (F.col("a_brand") == F.col("b_brand")) & (F.col("a_type") == F.col("b_type")) & (F.col("a_id") != F.col("b_id")))
+    return analysis.populations(_outcomes(spark, d), same.groupBy("b_id").agg(F.min("a_id").alias("true_a_id")))
+
+
+@query(f"WITH {JUDGED} SELECT least(floor(round(s, 6) / 0.04::DOUBLE), 25)::INT AS bucket, population, count(*) AS n FROM popd GROUP BY 1, 2")
+def score_histogram(spark, d):
+    return analysis.histogram(_judged(spark, d).withColumn("score", F.round("score", 6)), 0.04, "population").select("bucket", "population", "n")
+
+
+@query(
+    f"""WITH {JUDGED}, h AS (SELECT least(floor(round(s, 6) / 0.02::DOUBLE), 50) AS bucket, count(*) FILTER (population = 'match') AS m, count(*) FILTER (population = 'nonmatch') AS u FROM popd GROUP BY 1)
+    SELECT round(sum(least(m / (SELECT greatest(sum(m), 1) FROM h), u / (SELECT greatest(sum(u), 1) FROM h))), 4) AS overlap FROM h"""
+)
+def overlap_coefficient(spark, d):
+    return analysis.overlap_coefficient(_judged(spark, d).withColumn("score", F.round("score", 6))).select(r4("overlap"))
+
+
+@query(
+    f"""WITH {SCORED} SELECT f AS field_a, m AS method, count(*) AS n, round(min(v), 4) AS min, round(max(v), 4) AS max, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS median, round(stddev_pop(v), 4) AS stddev
+    FROM (SELECT unnest(['name', 'size', 'size']) AS f, unnest(['fuzzy', 'exact', 'numeric']) AS m, unnest([name_score, size_score, size_score]) AS v FROM ranks) GROUP BY 1, 2"""
+)
+def field_stats(spark, d):
+    each = _part_ranks(spark, d).select(F.explode("field_scores").alias("f")).select("f.*").withColumn("population", F.lit("match"))
+    return analysis.field_stats(each).select("field_a", "method", "n", r4("min"), r4("max"), r4("mean"), r4("median"), r4("stddev"))
+
+
+@query(
+    f"""WITH {JUDGED}, c AS (SELECT count(*) FILTER (verdict = 'auto_tp') AS auto_tp, count(*) FILTER (verdict = 'auto_fp') AS auto_fp, count(*) FILTER (verdict = 'review_tp') AS review_tp,
+      count(*) FILTER (verdict = 'review_fp') AS review_fp, count(*) FILTER (verdict = 'fn') AS fn, count(*) FILTER (verdict = 'tn') AS tn FROM popd)
+    SELECT *, round(auto_tp / nullif(auto_tp + auto_fp, 0), 4) AS precision, round(auto_tp / nullif(auto_tp + review_tp + fn, 0), 4) AS recall_auto,
+           round((auto_tp + review_tp) / nullif(auto_tp + review_tp + fn, 0), 4) AS recall_combined FROM c"""
+)
+def tune_accuracy(spark, d):
+    out = analysis.accuracy(_judged(spark, d))
+    return out.select("auto_tp", "auto_fp", "review_tp", "review_fp", "fn", "tn", r4("precision"), r4("recall_auto"), r4("recall_combined"))
+
+
+# --- the log of events: users (A) and sessions of events (B) ---
+
+LOG = "SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'remove_record' ELSE 'upsert_record' END AS type, CASE WHEN event_type = 'click' THEN 'b' ELSE 'a' END AS side, user_id::VARCHAR AS id, value AS payload FROM events"
+
+
+def _log(spark, d):
+    kind = F.when(F.col("event_type") == "error", "remove_record").otherwise("upsert_record")
+    side = F.when(F.col("event_type") == "click", "b").otherwise("a")
+    return fx.table(spark, d, "events").select(F.col("event_id").alias("seq"), kind.alias("type"), side.alias("side"), F.col("user_id").cast("string").alias("id"), F.col("value").alias("payload"))
+
+
+@query(f"WITH l AS ({LOG}) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY side, id ORDER BY seq DESC) = 1 AND type = 'upsert_record'")
+def log_compaction(spark, d):
+    return events.compacted(_log(spark, d))
+
+
+PAIR_LOG = "SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'crossmap_break' ELSE 'crossmap_confirm' END AS type, user_id::VARCHAR AS a_id, json_extract_string(props, '$.k') AS b_id FROM events WHERE event_type IN ('error', 'purchase')"
+
+
+@query(
+    f"""WITH l AS ({PAIR_LOG}), ends AS (SELECT *, max(seq) OVER (PARTITION BY a_id) AS la, max(seq) OVER (PARTITION BY b_id) AS lb FROM l WHERE type = 'crossmap_confirm')
+    SELECT a_id, b_id FROM ends e WHERE seq = la AND seq = lb AND NOT EXISTS (SELECT 1 FROM l x WHERE x.type = 'crossmap_break' AND x.a_id = e.a_id AND x.b_id = e.b_id AND x.seq > e.seq)"""
+)
+def event_fold(spark, d):
+    e = fx.table(spark, d, "events").where("event_type in ('error', 'purchase')")
+    kind = F.when(F.col("event_type") == "error", "crossmap_break").otherwise("crossmap_confirm")
+    log = e.select(F.col("event_id").alias("seq"), kind.alias("type"), F.col("user_id").cast("string").alias("a_id"), F.get_json_object("props", "$.k").alias("b_id"))
+    return events.crossmap_of(log)
+
+
+@query(
+    f"""WITH {SIM}, pa AS ({SQL["pa"]}), e AS (
+      SELECT n.a_id AS enrolled_id, o.a_id AS matched_id, wratio * 0.6::DOUBLE + (lower(n.a_type) = lower(o.a_type))::INT::DOUBLE * 0.4::DOUBLE AS score
+      FROM pa n JOIN pa o ON n.a_brand = o.a_brand AND o.a_id < n.a_id JOIN sim ON x = lower(trim(o.a_name)) AND y = lower(trim(n.a_name)))
+    SELECT enrolled_id, matched_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY enrolled_id ORDER BY score DESC, matched_id)::INT AS rank FROM e) WHERE score >= 0.8 AND rank <= 5"""
+)
+def enroll_edges(spark, d):
+    pool = fx.parts(spark, d, "a").select(F.col("a_id").alias("id"), F.col("a_id").alias("seq"), F.col("a_name").alias("name"), F.col("a_brand").alias("brand"), F.col("a_type").alias("type"))
+    fields = [scoring.MatchField("fuzzy", 0.6, "name", "name", "wratio"), scoring.MatchField("exact", 0.4, "type", "type")]
+    return enroll.edges(pool, ["brand"], fields, floor=0.8, top_n=5).select("enrolled_id", "matched_id", r4("score"), "rank")
+
+
+@query(f"SELECT * FROM ({COMMON}) WHERE a_id > '3' ORDER BY a_id, b_id LIMIT 20")
+def keyset_page(spark, d):
+    return tables.page_pairs(_common(spark, d), cursor="3", limit=20)
 
 
-def flagship(spark, sf_dir):
-    return QUERIES["composite_score"](spark, sf_dir)
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Parts matched with parts: blocked, scored, ranked, claimed one to one, classified."""
+    return relationships(spark, d)
