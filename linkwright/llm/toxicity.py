@@ -129,7 +129,7 @@ class Model:
             self.automaton = Automaton(self.terms)
         if len(self.seen) > self.most:
             self.seen.clear()
-        for w in words - self.seen.keys():
+        for w in [w for w in words if w not in self.seen]:
             hit = self.automaton.match(w)
             self.seen[w] = None if hit is not None and hit[0] and w in self.clean else hit
         return {w for w in words if self.seen[w] is not None}
