@@ -45,8 +45,11 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v at length one; the zero vector as it is."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+
+    def over(length: Column) -> Column:
+        return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+
+    return F.get(F.transform(F.array(norm(v)), over), F.lit(0))  # the length is computed once, not for each element
 
 
 def clamp(c: Column) -> Column:

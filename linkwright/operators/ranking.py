@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkwright.functions.scalar import classify
+from linkwright.operators.settle import settled
 
 
 def best_first():
@@ -43,7 +44,7 @@ def claim(ranks: DataFrame, auto: float, mapped: DataFrame | None = None, small:
     if mapped is not None:
         edges = edges.join(mapped.select("a_id"), "a_id", "left_anti").join(mapped.select("b_id"), "b_id", "left_anti")
     spark = ranks.sparkSession
-    edges = edges.persist()
+    edges = settled(edges)
     pairs = edges.limit(small + 1).select("b_id", "a_id", "rank").collect()
     if len(pairs) <= small:
         won = _serial(spark, edges, pairs)
@@ -72,7 +73,8 @@ def _rounds(edges: DataFrame) -> DataFrame:
         proposals = open_.withColumn("n", F.row_number().over(first)).where("n = 1").select("b_id", "a_id")
         held = proposals.groupBy("a_id").agg(F.min("b_id").alias("holder"))
         # a candidate turns down whoever comes after its holder, now and later
-        rest = open_.join(held, "a_id", "left").where("holder is null or b_id <= holder").select("b_id", "a_id", "rank").checkpoint()
+        rest = open_.join(held, "a_id", "left").where("holder is null or b_id <= holder").select("b_id", "a_id", "rank")
+        rest = settled(rest)
         if rest.count() == open_.count():
             return proposals
         open_ = rest

@@ -9,6 +9,7 @@ from linkwright.functions import acronyms as acr
 from linkwright.functions import scalar
 from linkwright.functions.fuzzy import fuzzy
 from linkwright.operators import analysis, candidates, prematch, ranking, scoring, tables
+from linkwright.operators.settle import settled
 from linkwright.plans import fixtures as fx
 from linkwright.plans.fixtures import AUTO, FLOOR, GAP, SCORED, SIM, SQL, TOP
 from linkwright.streaming import enroll, events
@@ -322,7 +323,7 @@ CLAIMED = f"RECURSIVE {CLAIMED}"
 
 
 def _outcomes(spark, d):
-    ranks = _part_ranks(spark, d)
+    ranks = settled(_part_ranks(spark, d))
     claims = ranking.claim(ranks, AUTO)
     return ranking.outcomes(ranks, claims, fx.parts(spark, d, "b"), AUTO, FLOOR)
 
@@ -354,8 +355,7 @@ def summary_view(spark, d):
 
 @query(f"WITH {CLAIMED} SELECT rel.a_id, rel.b_id, round(rel.score, 4) AS composite_score, relationship_type, f.field, round(f.value, 4) AS field_score FROM rel LEFT JOIN (SELECT a_id, b_id, unnest(['name', 'size']) AS field, unnest([name_score, size_score]) AS value FROM ranks) f ON f.a_id = rel.a_id AND f.b_id = rel.b_id")
 def relationship_detail(spark, d):
-    ranks = _part_ranks(spark, d)
-    rel = _outcomes(spark, d)
+    ranks, rel = _part_ranks(spark, d), _outcomes(spark, d)
     f = ranks.select("a_id", "b_id", F.explode("field_scores").alias("f")).where("f.method <> 'numeric'")
     f = f.select("a_id", "b_id", F.col("f.field_a").alias("field"), F.col("f.score").alias("field_score"))
     return rel.join(f, ["a_id", "b_id"], "left").select("a_id", "b_id", F.round("score", 4).alias("composite_score"), "relationship_type", "field", r4("field_score"))

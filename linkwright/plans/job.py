@@ -12,6 +12,7 @@ from linkwright.functions.encoder import Remote, encoded, onnx_encoder
 from linkwright.functions.scalar import cosine, joined
 from linkwright.operators import candidates as gen
 from linkwright.operators import prematch, ranking, scoring, tables
+from linkwright.operators.settle import settled
 from linkwright.plans.config import Config
 from linkwright.sources import readers, sinks
 
@@ -73,6 +74,7 @@ def candidate_pairs(c: Config, a: DataFrame, b: DataFrame, groups: DataFrame | N
         qa = a.withColumn("a_text", joined(*[F.col(f"a_{x}") for x, _ in c.bm25_fields]))
         qb = b.withColumn("b_text", joined(*[F.col(f"b_{y}") for _, y in c.bm25_fields]))
         bm25 = gen.bm25_top(qb, qa, c.bm25_candidates, blocked).select("b_id", "a_id", "bm25")
+        bm25 = settled(bm25)
         sources["bm25"] = bm25.select("b_id", "a_id")
     if "synonym" in methods:
         found = None
@@ -125,17 +127,20 @@ def match(c: Config, a: DataFrame, b: DataFrame, crossmap: DataFrame, exclusions
         if c.prefilter:
             same = prematch.exact_prefilter(a, b, [(f"a_{x}", f"b_{y}") for x, y in c.prefilter], mapped)
             known, mapped = known.unionByName(same), mapped.unionByName(same.select("a_id", "b_id"))
-        known, mapped = known.persist(), mapped.persist()
+        known, mapped = settled(known), settled(mapped)
     work = b.join(mapped.select("b_id"), "b_id", "left_anti") if prematching else b
-    va, vb = with_vectors(c, a, "a"), with_vectors(c, work, "b")
+    # what several generators read is kept: vectors are encoded once, and each phase is a plan of its own
+    va, vb = settled(with_vectors(c, a, "a")), settled(with_vectors(c, work, "b"))
     pairs, bm25 = candidate_pairs(c, va, vb, groups)
+    pairs = settled(pairs)
     if exclusions is not None and prematching:
         pairs = gen.without_excluded(pairs, exclusions)
-    ranks = ranking.ranked(score_pairs(c, pairs, va, vb, bm25, groups), c.auto, c.floor, c.min_gap, c.top_n).persist()
+    ranks = ranking.ranked(score_pairs(c, pairs, va, vb, bm25, groups), c.auto, c.floor, c.min_gap, c.top_n)
+    ranks = settled(ranks)
     claims = ranking.claim(ranks, c.auto, mapped if prematching else None)
     found = ranking.outcomes(ranks, claims, work, c.auto, c.floor)
     sure = known.select("b_id", F.lit("match").alias("relationship_type"), "a_id", "score", F.lit(None).cast("int").alias("rank"), "reason")
-    relationships = sure.unionByName(found).persist()
+    relationships = settled(sure.unionByName(found))
     confirmed = relationships.where("relationship_type = 'match'").select("a_id", "b_id")
     return Result(relationships, ranks, tables.crossmap_add(mapped, confirmed), a, b)
 

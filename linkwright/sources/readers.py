@@ -32,7 +32,8 @@ def scan(spark: SparkSession, path: str, format: str | None = None, encoding: st
     elif kind == "parquet":
         df = spark.read.parquet(path)
     else:
-        df = spark.read.json(path, primitivesAsString=True, mode="FAILFAST", encoding=encoding)
+        names = spark.read.json(path, primitivesAsString=True, mode="FAILFAST", encoding=encoding).columns
+        df = spark.read.schema(", ".join(f"`{n}` string" for n in names)).json(path, mode="FAILFAST", encoding=encoding)
     nested = {n for n, t in df.dtypes if t.startswith(("struct", "array", "map"))}
     return df.select(*[F.coalesce(F.to_json(f"`{c}`") if c in nested else F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
 
