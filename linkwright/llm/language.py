@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.shared import save
-from linkwright.llm.training import class_counts, sampled
+from linkwright.llm.training import class_counts, only, sampled
 
 LETTERS = re.compile(r"[^\W\d_]+").findall
 ROWS = 256
@@ -46,8 +46,7 @@ class Model:
         self.grams = {}
         for table in grams:
             self.grams |= self._logs({g: c for g, c in table.items() if sum(c) >= known}, 0.1)
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, len(at)))
+        self.forget()
 
     @staticmethod
     def _logs(counts: dict, more: float) -> dict:
@@ -56,6 +55,11 @@ class Model:
         x = np.array(list(counts.values()), dtype=float) + more
         return dict(zip(counts, map(tuple, np.log(x / x.sum(axis=0)))))
 
+    def forget(self) -> None:
+        """Drop what was found out about single words."""
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.languages)))
+
     def _letters(self, word: str) -> np.ndarray:
         padded, grams, found = f" {word} ", self.grams, []
         for end in range(2, len(padded) + 1):
@@ -113,7 +117,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shipped.value
+        held = only(shipped.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.shared import save
-from linkwright.llm.training import class_counts, sampled
+from linkwright.llm.training import class_counts, only, sampled
 
 WORDS = re.compile(r"\w+")
 ROWS = 256
@@ -124,6 +124,10 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"automaton": None, "seen": {}}
 
+    def forget(self) -> None:
+        """Drop what was found out about single words."""
+        self.automaton, self.seen = None, {}
+
     def _hits(self, words: set[str]) -> set[str]:
         if self.automaton is None:
             self.automaton = Automaton(self.terms)
@@ -252,7 +256,7 @@ def _features(found: DataFrame, model: Model) -> list:
     shipped = found.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shipped.value
+        held = only(shipped.value)
         for batch in batches:
             x = [held.features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("kind"), *(pa.array([r[k] for r in x], pa.float64()) for k in range(5))], ["kind", *"abcde"])
@@ -268,7 +272,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shipped.value
+        held = only(shipped.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

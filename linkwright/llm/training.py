@@ -10,6 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_CURRENT: list = []
+
+
+def only(model):
+    """model, after the one that this Python worker used before it (for another query) has forgotten its tables: a worker
+    keeps every broadcast value that it has read."""
+    if not _CURRENT or _CURRENT[0] is not model:
+        for other in _CURRENT:
+            other.forget()
+        _CURRENT[:] = [model]
+    return model
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """The remainder of the CRC-32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
