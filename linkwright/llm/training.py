@@ -23,6 +23,13 @@ def only(model):
     return model
 
 
+def release() -> None:
+    """Forget the tables of the model that this Python worker used, for stages that need none."""
+    for other in _CURRENT:
+        other.forget()
+    _CURRENT.clear()
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """The remainder of the CRC-32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
