@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from math import ceil, exp, log, log1p
+from math import exp, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from linkwright.llm.training import class_counts, only, sampled
 WORDS = re.compile(r"\w+")
 ROWS = 256
 #: Lengths of the stems that a lexicon may have besides words.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: Marks of quotation, and words that report or address somebody.
 QUOTES = "\"“”„«»‹›`"
 REPORTS = frozenset("said says say wrote writes called quote quoted quotes word words term terms slur insult dit écrit mot dijo escribió palabra sagte schrieb wort".split())
@@ -138,8 +138,12 @@ class Model:
             self.seen[w] = None if hit is not None and hit[0] and w in self.clean else hit
         return {w for w in words if self.seen[w] is not None}
 
-    def features(self, text: str | None) -> list[float]:
-        """Of a whole text: log-scaled evidence from plain, misspelled and quoted hits, their variety and rate."""
+    def features(self, text: str | None, odds: list[float] | None = None) -> list[float]:
+        """Of a whole text: log-scaled evidence from plain, misspelled and quoted hits, their variety and rate.
+
+        odds replaces the terms' own.
+        """
+        odds = odds or self.odds
         low = (text or "").lower()
         if not self.terms or not low:
             return [0.0] * 5
@@ -155,11 +159,11 @@ class Model:
             errors, term = self.seen[m[0]]
             kinds.add(term)
             if quotation(low, spans, k) > 0:
-                quoted += self.odds[term]
+                quoted += odds[term]
             elif errors:
-                loose += self.odds[term]
+                loose += odds[term]
             else:
-                plain += self.odds[term]
+                plain += odds[term]
         return [log1p(plain), log1p(loose), log1p(quoted), log1p(len(kinds)), log1p(1000 * (plain + loose) / len(words))]
 
     def score(self, text: str | None) -> float:
@@ -191,12 +195,13 @@ def fit(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> list[float]:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = 20_000, most_terms: int = 4000, support: int = 3, support_share: float = 0.01
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = 20_000, most_terms: int = 4000, support: int = 3
 ) -> Model:
     """A model from labelled rows: a sample of about most_docs of them by a hash of the id, at most most_terms terms.
 
-    A term is a word or stem that at least `support` toxic texts (and support_share of them) and hardly any others
-    have, enough for chance to make hardly any such term of the vocabulary; of copies and near copies, told by the least hash of their shingles, one counts. Null labels are left out.
+    A term is a word or stem that at least `support` toxic texts have, and whose smoothed log odds are above 1 by two
+    standard errors; it weighs its log odds less one standard error, and for the regression a text's own count is left out.
+    Of copies and near copies, told by the least hash of their shingles, one counts. Null labels are left out.
     Texts with contradicting labels count for both. Without toxic and other texts the model has no terms.
     """
     rows = labels.where(F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("kind")).distinct()
@@ -211,18 +216,25 @@ def train(
     counts = class_counts(found, split, once=True).groupBy("word").agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("good"))
     counts = save(counts, "term-counts")
     odds = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1)))
-    by_chance = log(10 * max(1, counts.count())) / log((bad + good) / bad)
-    least = max(support, ceil(support_share * bad), ceil(by_chance))
-    terms = counts.withColumn("odds", odds).where(f"bad >= {least} and odds > 3.0 and good * 50 <= bad").orderBy(F.desc("bad"), F.desc("odds"), "word").limit(most_terms)
-    model = Model({r["word"]: min(r["odds"], 8.0) for r in terms.collect()})
+    error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    terms = counts.where(f"bad >= {support}").withColumn("low", odds - error).where(F.col("low") - error > 1.0)
+    chosen_terms = terms.orderBy(F.desc("low"), "word").limit(most_terms).collect()
+    model = Model({r["word"]: min(r["low"], 8.0) for r in chosen_terms})
     if not model.terms:
         return Model({}, weights=[log(bad / good), 0, 0, 0, 0, 0])
     model.clean = _near_but_clean(counts, model)
-    x = _features(found, model)
+    others = [[_weight(r["bad"] - kind, r["good"] - (not kind and r["good"] > 0), bad, good) for r in chosen_terms] for kind in (0, 1)]
+    x = _features(found, model, others)
     model.weights = fit(np.array([r[1:] for r in x], dtype=float), np.array([r[0] for r in x], dtype=float))
     return model
 
 
+def _weight(with_bad: int, with_good: int, bad: int, good: int) -> float:
+    """A term's smoothed log odds less their standard error, 0 to 8."""
+    odds = log((with_bad + 0.5) / (bad + 1)) - log((with_good + 0.5) / (good + 1))
+    return max(0.0, min(8.0, odds - sqrt(1 / (with_bad + 0.5) + 1 / (with_good + 0.5))))
+
+
 def _keyed(texts: DataFrame) -> DataFrame:
     """(kind, text, key): the least XXH64 of a text's runs of five words, which near copies mostly share."""
 
@@ -251,14 +263,14 @@ def _near_but_clean(counts: DataFrame, model: Model) -> set[str]:
     return {r["word"] for r in counts.where("good > bad and not endswith(word, '*')").select("word").mapInArrow(run, "word string").collect()}
 
 
-def _features(found: DataFrame, model: Model) -> list:
-    """(kind, features) of the sample."""
+def _features(found: DataFrame, model: Model, odds: list[list[float]]) -> list:
+    """(kind, features) of the sample, by the odds for each kind."""
     shipped = found.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = only(shipped.value)
         for batch in batches:
-            x = [held.features(t.as_py()) for t in batch.column("text")]
+            x = [held.features(t.as_py(), odds[k.as_py() == 1]) for k, t in zip(batch.column("kind"), batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("kind"), *(pa.array([r[k] for r in x], pa.float64()) for k in range(5))], ["kind", *"abcde"])
 
     return found.select("kind", "text").mapInArrow(run, "kind int, a double, b double, c double, d double, e double").collect()

@@ -63,6 +63,23 @@ def test_learned(spark):
     assert model.score("such a zstupidd ztupid thing") >= 0.5 or model.features("such a zstupidd thing")[1] > 0
 
 
+def test_terms_of_a_minority(spark):
+    """A stem of seven letters in a few toxic texts, and in one clean text; its first six letters begin clean words too."""
+    docs, labels = corpus(600, 9)
+    rng = random.Random(4)
+    for i in range(1000, 1120):
+        ending = "".join(rng.choice("abcdefghij") for _ in range(4))
+        words = [rng.choice("klmnop") * 3 + str(rng.randrange(60)) for _ in range(30)]
+        toxic = i % 10 == 0
+        words[7:7] = ["boment" + ("e" if toxic or i == 1001 else rng.choice("klmnop")) + ending]
+        docs.append((i, " ".join(words), "x"))
+        labels.append((i, int(toxic), 1))
+    model = train(spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int, kind int"))
+    assert "bomente*" in model.terms and "boment*" not in model.terms
+    fresh = "kkk1 lll2 mmm3 bomentezzzz nnn4 ooo5"
+    assert model.features(fresh)[0] > 0 and model.features(fresh.replace("bomente", "bomentk"))[0] == 0
+
+
 def test_quotation_counts_apart():
     model = Model({"stupid": 5.0})
     plainly, quoted = model.features("you are so stupid and you know it"), model.features('they said the word "stupid" is a term')
