@@ -199,20 +199,22 @@ def train(
 ) -> Model:
     """A model from labelled rows: a sample of about most_docs of them by a hash of the id, at most most_terms terms.
 
+    Toxic and other rows are sampled apart, about half of most_docs each, or more if there are fewer of the other kind; the
+    intercept is corrected to the shares among all rows.
     A term is a word or stem that at least `support` toxic texts have, and whose smoothed log odds are above 1 by two
     standard errors; it weighs its log odds less one standard error, and for the regression a text's own count is left out.
     Of copies and near copies, told by the least hash of their shingles, one counts. Null labels are left out.
     Texts with contradicting labels count for both. Without toxic and other texts the model has no terms.
     """
     rows = labels.where(F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("kind")).distinct()
-    chosen = sampled(rows, most_docs, F.col("doc_id"))
+    chosen, skew = _balanced(rows, most_docs)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
     # the sample is bounded, so it can be broadcast
     found = save(_keyed(texts.join(F.broadcast(chosen), "doc_id")).dropDuplicates(["kind", "key"]), "labelled")
     totals = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
-        return Model({}, weights=[log((bad + 0.5) / (good + 0.5)), 0, 0, 0, 0, 0])
+        return Model({}, weights=[log((bad + 0.5) / (good + 0.5)) - skew, 0, 0, 0, 0, 0])
     counts = class_counts(found, split, once=True).groupBy("word").agg(F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("good"))
     counts = save(counts, "term-counts")
     odds = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1)))
@@ -221,14 +223,26 @@ def train(
     chosen_terms = terms.orderBy(F.desc("low"), "word").limit(most_terms).collect()
     model = Model({r["word"]: min(r["low"], 8.0) for r in chosen_terms})
     if not model.terms:
-        return Model({}, weights=[log(bad / good), 0, 0, 0, 0, 0])
+        return Model({}, weights=[log(bad / good) - skew, 0, 0, 0, 0, 0])
     model.clean = _near_but_clean(counts, model)
     others = [[_weight(r["bad"] - kind, r["good"] - (not kind and r["good"] > 0), bad, good) for r in chosen_terms] for kind in (0, 1)]
     x = _features(found, model, others)
     model.weights = fit(np.array([r[1:] for r in x], dtype=float), np.array([r[0] for r in x], dtype=float))
+    model.weights[0] -= skew
     return model
 
 
+def _balanced(rows: DataFrame, most: int) -> tuple[DataFrame, float]:
+    """About `most` rows at most, and by how much the log odds of a toxic row are higher in them than in all rows."""
+    toxic, other = rows.where("kind = 1"), rows.where("kind <> 1")
+    n = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("kind") == 1).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = n.get(True, 0), n.get(False, 0)
+    most_bad = max(most // 2, most - good)
+    most_good = most - min(bad, most_bad)
+    chosen = sampled(toxic, most_bad, F.col("doc_id")).union(sampled(other, most_good, F.col("doc_id")))
+    return chosen, log(min(1, most_bad / max(1, bad))) - log(min(1, most_good / max(1, good)))
+
+
 def _weight(with_bad: int, with_good: int, bad: int, good: int) -> float:
     """A term's smoothed log odds less their standard error, 0 to 8."""
     odds = log((with_bad + 0.5) / (bad + 1)) - log((with_good + 0.5) / (good + 1))

@@ -80,6 +80,19 @@ def test_terms_of_a_minority(spark):
     assert model.features(fresh)[0] > 0 and model.features(fresh.replace("bomente", "bomentk"))[0] == 0
 
 
+def test_rare_class_is_sampled_apart(spark):
+    """Of 8,000 labelled rows 80 are toxic, the sample has 80."""
+    rng = random.Random(6)
+    docs = []
+    for i in range(8000):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(90)}" for _ in range(25)]
+        docs.append((i, " ".join(words + ["zstupid", "zmoronic"] * (i % 100 == 0)), int(i % 100 == 0)))
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = train(d.drop("toxic"), d.drop("text"), most_docs=80)
+    assert {"zstupid", "zmoronic"} <= set(model.terms)
+    assert model.score("a1 b2 zstupid zmoronic c3 d4") >= 0.5 and model.score("a1 b2 c3 d4") < 0.01
+
+
 def test_quotation_counts_apart():
     model = Model({"stupid": 5.0})
     plainly, quoted = model.features("you are so stupid and you know it"), model.features('they said the word "stupid" is a term')
