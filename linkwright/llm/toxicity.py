@@ -115,7 +115,7 @@ class Automaton:
 class Model:
     """Terms with their log odds, words that are near a term but known as clean, and the weights of the features."""
 
-    def __init__(self, terms: dict[str, float], clean: set[str] = frozenset(), weights: list[float] | None = None, most: int = 400_000):
+    def __init__(self, terms: dict[str, float], clean: set[str] = frozenset(), weights: list[float] | None = None, most: int = 100_000):
         self.terms, self.odds = list(terms), list(terms.values())
         self.clean, self.weights, self.most = clean, weights or [-4.0, 1.5, 0.5, -0.5, 0.5, 0.3], most
         self.automaton: Automaton | None = None
@@ -133,6 +133,7 @@ class Model:
             self.automaton = Automaton(self.terms)
         if len(self.seen) > self.most:
             self.seen.clear()
+            self.automaton = Automaton(self.terms)
         for w in [w for w in words if w not in self.seen]:
             hit = self.automaton.match(w)
             self.seen[w] = None if hit is not None and hit[0] and w in self.clean else hit
