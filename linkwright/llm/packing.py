@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,18 +27,18 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(shipped.value), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                rows = batch.slice(at, SLICE_ROWS)
-                ids = [x + end for x in enc.encode(rows.column("text").to_pylist())]
-                n = [len(x) // enc.dtype.itemsize for x in ids]
+            for rows in by_size(batch, "text"):
+                flat, n = enc.encode(rows.column("text"))
+                flat, n = np.insert(flat, np.cumsum(n), end_id), n + 1
+                ends = np.r_[0, np.cumsum(n) * enc.dtype.itemsize].astype(np.int32)
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
                 starts = []
-                for source, k in zip(rows.column("source").to_pylist(), n):
+                for source, k in zip(rows.column("source").to_pylist(), n.tolist()):
                     starts.append(before.get(source, 0))
                     before[source] = starts[-1] + k
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("source"), pa.array([part] * len(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    [rows.column("doc_id"), rows.column("source"), pa.array([part] * len(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), ids],
                     ["doc_id", "source", "part", "before", "n", "ids"],
                 )
 
@@ -46,6 +47,16 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "d
     return df.mapInArrow(run, f"doc_id {kind}, source string, part int, before long, n long, ids binary")
 
 
+def by_size(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose column holds at most so many bytes, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class Rounds:
     """The order in which deficit round-robin serves the sources, in closed form.
 
@@ -57,27 +68,33 @@ class Rounds:
     """
 
     def __init__(self, totals: list[int], shares: list[float] | None, window: int, slice_tokens: int):
+        if sum(totals) >= 1 << 46 or any(w < 0 for w in shares or []):
+            raise ValueError("shares must not be negative, and all tokens together fewer than 2 ** 46")
         self.totals = np.array(totals, dtype=np.int64)
         total = sum(totals)
-        wanted = shares or [t / max(total, 1) for t in totals]
+        scale = sum(shares) if shares else 0
+        wanted = [w / scale for w in shares] if scale else [t / max(total, 1) for t in totals]
         self.quantum = np.array([max(1, int(w * window * UNIT)) for w in wanted], dtype=np.int64)
         self.slice = slice_tokens
+        #: the round that serves the last of a source; counting no further keeps products small
+        slices = -(-self.totals // slice_tokens)
+        self.last = -(-slices * slice_tokens * UNIT // self.quantum)
 
     def _served(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens of each source served by the end of each round."""
-        return np.minimum(rounds[:, None] * self.quantum[None, :] // (UNIT * self.slice) * self.slice, self.totals[None, :])
+        return np.minimum(np.minimum(rounds[:, None], self.last[None, :]) * self.quantum[None, :] // (UNIT * self.slice) * self.slice, self.totals[None, :])
 
     def place(self, source: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Where slice j of a source starts in the stream of all tokens."""
-        out = np.empty(len(j), dtype=np.int64)
-        for at in range(0, len(j), 8192):
-            s, k = source[at : at + 8192], j[at : at + 8192]
+        out, most = np.empty(len(j), dtype=np.int64), max(1, (1 << 18) // max(1, len(self.totals)))
+        for at in range(0, len(j), most):
+            s, k = source[at : at + most], j[at : at + most]
             r = -((-(k + 1) * self.slice * UNIT) // self.quantum[s])
             first = np.arange(len(self.totals))[None, :] < s[:, None]
             # of the own source the slices of this round come in turn, those before j are served
             other = np.where(first, self._served(r), self._served(r - 1))
             other[np.arange(len(s)), s] = k * self.slice
-            out[at : at + 8192] = other.sum(axis=1)
+            out[at : at + most] = other.sum(axis=1)
         return out
 
 
@@ -116,9 +133,11 @@ def pack(
     doc_tokens, sequence_id, offset, and the ids themselves.
 
     `tokenizer` is a definition as text, `shares` target proportions by source, by default those of the input, so that
-    every window mirrors the corpus; when a queue runs dry the others go on. Only the last sequence can be short.
+    every window mirrors the corpus; when a queue runs dry the others go on, and a source without a share is served last.
+    Only the last sequence can be short.
     Null texts are empty: a document has at least end_id. The null source has a queue of its own. Rows are packed one
-    by one, so repeated rows repeat tokens. Only each source's name and total are held by the driver.
+    by one, so repeated rows repeat tokens. Only each source's name and total are held by the driver;
+    each slice's place takes a step for each source, so sources should be some thousands at most.
     Token ids are written once and never shuffled: places follow from the totals by source and partition.
     """
     spark = docs.sparkSession

@@ -32,6 +32,28 @@ def test_closed_form_is_the_round_robin():
             assert order.place(np.array([s]), np.array([j]))[0] == at
 
 
+def test_large_totals_and_a_zero_share():
+    order = Rounds([50_000_000, 10**9], [0.0, 1.0], 2048, 256)
+    last = [-(-t // 256) - 1 for t in (50_000_000, 10**9)]
+    at = order.place(np.array([1, 1, 0, 0]), np.array([0, last[1], 0, last[0]]))
+    # the source without a share is served a slice now and then, the other without a break before its end
+    assert at[0] == 0 and 10**9 - 256 <= at[1] < 10**9 + 50_000_000 and (np.diff(at) > 0).sum() >= 2
+    assert sorted({*at}) == [*sorted(at)] and at[3] == 50_000_000 + 10**9 - (50_000_000 - last[0] * 256)
+    many = Rounds([1000] * 3000, None, 2048, 256)
+    s, j = np.repeat(np.arange(3000), 4), np.tile(np.arange(4), 3000)
+    assert np.unique(many.place(s, j)).size == 12000
+
+
+def test_shares_hold_in_each_window(spark):
+    order, window = Rounds([60_000, 60_000, 60_000], [0.5, 0.25, 0.25], 2048, 64), 2048
+    j = np.arange(60_000 // 64)
+    place = order.place(np.repeat([0, 1, 2], len(j)), np.tile(j, 3))
+    kind = np.repeat([0, 1, 2], len(j))
+    for w in range(50):  # until the first queue is dry
+        here = kind[(place >= w * window) & (place < (w + 1) * window)]
+        assert abs((here == 0).sum() * 64 - window / 2) <= 3 * 64
+
+
 def test_pieces_cover():
     order = Rounds([100, 50], None, 32, 8)
     doc, begin, length, seq, off = pieces_of(order, 32, np.array([0, 0, 1]), np.array([0, 30, 0]), np.array([30, 70, 50]))

@@ -15,7 +15,10 @@ ENCODER = Encoder(DEFINITION)
 
 def same(text):
     want = TOKENIZER.encode(text or "", add_special_tokens=False).ids
-    assert np.frombuffer(ENCODER.encode([text])[0], dtype=ENCODER.dtype).tolist() == want
+    ids, counts = ENCODER.encode(["It's", text, None, "'", text, "s"])
+    ids = np.split(ids.tolist(), np.cumsum(counts)[:-1])
+    assert len(counts) == 6 and ids[1].tolist() == want and ids[4].tolist() == want
+    assert ENCODER.encode([text])[0].tolist() == want
 
 
 def test_recognised():
@@ -37,4 +40,13 @@ def test_full_table_is_emptied():
     small = Encoder(DEFINITION, most=5)
     texts = ["one two three four five six seven", "eight nine ten one two", None, "one"]
     want = [TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(x, dtype=small.dtype).tolist() for x in small.encode(texts)] == want
+    ids, counts = small.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr("linkwright.llm.tokens.BLOCK", 64)
+    texts = ["It's a long, long text: " * 40, "x" * 500, "né " * 200 + "🙂 " + "y" * 300, None, " " * 300]
+    ids, counts = ENCODER.encode(texts)
+    want = [TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
