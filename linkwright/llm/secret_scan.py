@@ -26,7 +26,8 @@ ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]{16,}"), re.compile("[0-9a-f]{24,}")
 #: Where a secret may follow, and what one may look like.
 SENSITIVE = re.compile("|".join(map(_either, ("passw", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "credential", "bearer", "private", "authorization", "access"))))
-STRING = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{12,}")
+SHORTEST = 12
+STRING = re.compile(r"[A-Za-z0-9+/_.=~!@#$%%^&*-]{%d,}" % SHORTEST)
 #: Identifiers and code that are no news next to a candidate.
 IDENTIFIERS = (
     "password passwd passphrase secret client_secret token access_token refresh_token api_key apikey private_key public_key credential credentials "
@@ -40,10 +41,13 @@ IDENTIFIERS = (
 class Scanner:
     """Finds spans (kind, start, end) in code points, end exclusive.
 
-    Base kinds are patterns, leftmost and without overlaps each. A novel span is a string after a sensitive word within
-    `reach` characters that overlaps no base span, has two kinds of characters at least, and adds more than `ratio`
-    compressed bytes per character: a raw-content dictionary of identifiers primes the compressor, which also sees the
-    `around` characters on either side, so that whatever the surroundings repeat costs next to nothing.
+    Base kinds are patterns, leftmost and without overlaps each. A novel span is a string that starts within `reach`
+    characters after a sensitive word, has two kinds of characters at least (digits, small letters, capitals other than
+    the first letter), and adds more than `ratio` compressed bytes per character: a raw-content dictionary of identifiers
+    primes the compressor, which also sees the `around` characters on either side, so that whatever the surroundings
+    repeat costs next to nothing. Every such string is measured, those that a pattern has found too: a placeholder that
+    only looks like an assignment is a base span, but no novel one. Novel spans do not overlap each other; each string
+    is compressed once, so a scan is linear in the text.
     """
 
     def __init__(self, reach: int = 48, around: int = 256, ratio: float = 0.72, level: int = 9):
@@ -63,28 +67,28 @@ class Scanner:
         size = lambda x: len(self.compressor.compress(x))
         return size(context + b"\n" + text[start:end].encode()) - size(context + b"\n")
 
-    def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found, done = [], -1
+    def novel(self, text: str) -> list[tuple[int, int, int]]:
+        found, done = [], 0
         for word in SENSITIVE.finditer(text):
-            for m in STRING.finditer(text, word.end(), min(len(text), word.end() + self.reach + 256)):
-                if m.start() > word.end() + self.reach:
-                    break
-                if m.start() <= done:
-                    continue
-                done = m.start()
-                start, end = m.start(), STRING.match(text, m.start()).end()  # the whole run, past the window too
-                classes = sum(any(test(c) for c in m[0]) for test in (str.isdigit, str.islower, str.isupper))
-                if classes < 2 or not any(c.isdigit() for c in m[0]) or any(s < end and start < e for s, _, e in base):
-                    continue
-                if self.marginal(text, start, end) >= self.ratio * (end - start):
-                    found.append((start, 3, end))
+            last = min(len(text), word.end() + self.reach)
+            while (first := max(done, word.end())) <= last and (m := STRING.search(text, first, last + SHORTEST)) and m.start() <= last:
+                m = STRING.match(text, m.start())  # the whole run, past the window too
+                done = m.end()
+                if kinds(m[0]) >= 2 and self.marginal(text, *m.span()) >= self.ratio * len(m[0]):
+                    found.append((m.start(), 3, m.end()))
         return found
 
     def scan(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base spans, all spans), each sorted by start and kind; null counts as empty."""
         text = text or ""
         base = self.base(text)
-        return base, sorted(base + self.novel(text, base))
+        return base, sorted(base + self.novel(text))
+
+
+def kinds(string: str) -> int:
+    """How many kinds of characters it has; a capital that only begins a word counts as small."""
+    rest = string[1:] if string[:1].isupper() else string
+    return sum(any(test(c) for c in rest) for test in (str.isdigit, str.islower, str.isupper))
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +41,74 @@ def test_novel():
     assert not SCANNER.scan(repeated)[1]
 
 
+def novel_by_hand(text):
+    """Runs of string characters, character by character; the sensitive word nearest before each decides."""
+    words = "passw passphrase secret token apikey api_key api-key credential bearer private authorization access".split()
+    out, at, used = [], 0, set()
+    low = text.lower() if text.isascii() else text
+    ends = sorted({k + len(w) for w in words for k in range(len(text)) if low.startswith(w, k)})
+    ends = [e for e in ends if not any(low.startswith(w, k) and k + len(w) == e for w in words for k in range(e) if any(low.startswith(v, j) and j < k < j + len(v) <= e for v in words for j in range(max(0, k - 12), k)))]
+    for end in ends:
+        at = max(at, end)
+        while at <= min(end + 48, len(text)):
+            stop = at
+            while stop < len(text) and re.match(r"[A-Za-z0-9+/_.=~!@#$%^&*-]", text[stop]):
+                stop += 1
+            if stop - at >= 12:
+                s = text[at:stop]
+                rest = s[1:] if s[0].isupper() else s
+                n = bool(re.search("[0-9]", rest)) + bool(re.search("[a-z]", rest)) + bool(re.search("[A-Z]", rest))
+                if n >= 2 and SCANNER.marginal(text, at, stop) / len(s) >= 0.72:
+                    out.append((at, 3, stop))
+                at = stop
+            else:
+                at = max(at + 1, stop)
+    return out
+
+
+def test_novel_equals_plain_search():
+    rng = random.Random(2)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    for _ in range(300):
+        parts = [rng.choice(["the secret of", "client token", "a credential:", "some words here", "Bearer", "\n", "your_password_here", "x = 5", "".join(rng.choices(alphabet, k=rng.randrange(8, 40)))]) for _ in range(8)]
+        text = rng.choice([" ", "", "  "]).join(parts)
+        assert SCANNER.novel(text) == novel_by_hand(text)
+
+
+def test_planted_secrets_are_found():
+    """Random strings after sensitive words that no pattern fits, among prose, identifiers and capitalised words."""
+    rng = random.Random(8)
+    words = "the quick Brown foxes Understandably jumped over configuration getUserName lazyDogs Internationalisation of their neighbour".split()
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    found = wrong = 0
+    for _ in range(200):
+        secret = "".join(rng.choices(alphabet, k=24))
+        before, after = (" ".join(rng.choices(words, k=12)) for _ in range(2))
+        text = f"{before} {rng.choice(['Authorization Bearer', 'the credential is', 'private', 'access code'])} {secret} {after}"
+        base, every = SCANNER.scan(text)
+        spans = {text[s:e] for s, k, e in every if k == 3}
+        found += secret in spans and not base
+        wrong += len(spans - {secret})
+    assert found >= 195 and wrong <= 4
+
+
+def test_long_runs_take_linear_time():
+    rng = random.Random(1)
+    text = "".join("token" + "".join(rng.choices("abcdefghij", k=8)) for _ in range(40_000))
+    began = time.time()
+    spans = [s for s in SCANNER.scan(text)[1] if s[1] == 3]
+    assert time.time() - began < 20 and all(a[2] <= b[0] for a, b in zip(spans, spans[1:]))
+    one = SCANNER.novel("secret zX9fQ2mL7vRtoken4KpW8sYbQ1wE5")
+    assert len(one) == 1
+
+
+def test_patterns_are_measured_too():
+    """An assignment of a placeholder is a base span only."""
+    text = 'token = "e03422dad6b454724135a384f69ba12c7de6c8f4" and password = "changeme_placeholder"'
+    base, every = SCANNER.scan(text)
+    assert [k for _, k, _ in base] == [0, 2, 0] and [text[s:e] for s, k, e in every if k == 3] == ["e03422dad6b454724135a384f69ba12c7de6c8f4"]
+
+
 def test_query(spark):
     texts = [None, "", "password=hunter2xyz", "x" * 50000 + " token: 'abcdef12' " + "0f" * 20, "é🙂 secret=abcdefg", "AKIA" + "A1" * 10]
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(2, texts[2], "clash")]
