@@ -3,23 +3,36 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.shared import save
-from linkwright.llm.training import class_counts, only, sampled
+from linkwright.llm.training import class_counts, only, sampled_by_class
 
-LETTERS = re.compile(r"[^\W\d_]+").findall
+#: Runs of letters and of other numbers than digits, such as fractions; LETTERS takes the latter apart.
+RUNS = re.compile(r"[^\W\d_]+").findall
+LETTERS = regex.compile(r"\p{L}+").findall
 ROWS = 256
 
 
 def split(text: str) -> list[str]:
-    return LETTERS(text.lower())
+    """Lower-case runs of letters, which are the characters of Unicode's categories L."""
+    found = RUNS(text.lower())
+    return found if all(map(str.isalpha, found)) else [w for x in found for w in LETTERS(x)]
+
+
+def grams(word: str, longest: int) -> Iterator[str]:
+    """The n-grams of a word between spaces, of one to `longest` characters."""
+    padded = f" {word} "
+    for size in range(1, longest + 1):
+        for k in range(len(padded) - size + 1):
+            yield padded[k : k + size]
 
 
 class Model:
@@ -29,31 +42,26 @@ class Model:
     ending there that is known, of `longest` characters down to one.
     """
 
-    def __init__(self, counts: list[tuple[str, str, int]], longest: int = 4, known: int = 3, most: int = 300_000):
-        self.languages = sorted({lang for lang, _, _ in counts})
+    def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]], longest: int = 4, most: int = 300_000):
+        """words and grams: (language, word or n-gram, count)."""
+        self.languages = sorted({lang for lang, _, _ in words} | {lang for lang, _, _ in grams})
         self.longest, self.most = longest, most
-        at = {lang: k for k, lang in enumerate(self.languages)}
-        words: dict = defaultdict(lambda: [0] * len(at))
-        grams: list[dict] = [defaultdict(lambda: [0] * len(at)) for _ in range(longest + 1)]
-        for lang, word, n in counts:
-            words[word][at[lang]] += n
-            padded = f" {word} "
-            for size in range(1, longest + 1):
-                table = grams[size]
-                for k in range(len(padded) - size + 1):
-                    table[padded[k : k + size]][at[lang]] += n
-        self.words = self._logs({w: c for w, c in words.items() if sum(c) >= known}, 0.5)
-        self.grams = {}
-        for table in grams:
-            self.grams |= self._logs({g: c for g, c in table.items() if sum(c) >= known}, 0.1)
+        self.words, self.word_logs = self._logs(words, 0.5)
+        # an n-gram's share is among those of its size
+        sizes = [self._logs([g for g in grams if len(g[1]) == size], 0.1) for size in range(1, longest + 1)]
+        self.grams, self.gram_logs = {}, np.concatenate([logs for _, logs in sizes])
+        for at, _ in sizes:
+            self.grams |= {g: k + len(self.grams) for g, k in at.items()}
         self.forget()
 
-    @staticmethod
-    def _logs(counts: dict, more: float) -> dict:
-        if not counts:
-            return {}
-        x = np.array(list(counts.values()), dtype=float) + more
-        return dict(zip(counts, map(tuple, np.log(x / x.sum(axis=0)))))
+    def _logs(self, counts: list[tuple[str, str, int]], more: float) -> tuple[dict[str, int], np.ndarray]:
+        """(the row of each word, log frequencies by language)."""
+        at = {lang: k for k, lang in enumerate(self.languages)}
+        rows: dict[str, int] = {}
+        table = np.full((len({w for _, w, _ in counts}), len(at)), more)
+        for lang, word, n in counts:
+            table[rows.setdefault(word, len(rows)), at[lang]] += n
+        return rows, np.log(table / table.sum(axis=0)).astype(np.float32) if len(rows) else table.astype(np.float32)
 
     def forget(self) -> None:
         """Drop what was found out about single words."""
@@ -61,16 +69,16 @@ class Model:
         self.table = np.zeros((1024, len(self.languages)))
 
     def _letters(self, word: str) -> np.ndarray:
-        padded, grams, found = f" {word} ", self.grams, []
+        padded, known, found = f" {word} ", self.grams, []
         for end in range(2, len(padded) + 1):
             for size in range(min(self.longest, end), 0, -1):
-                x = grams.get(padded[end - size : end])
+                x = known.get(padded[end - size : end])
                 if x is not None:
                     found.append(x)
                     break
         if not found:
             return np.zeros(len(self.languages))
-        x = np.array(found)
+        x = self.gram_logs[found].astype(float)
         return (x - x.max(axis=1, keepdims=True)).sum(axis=0)
 
     def _row(self, word: str) -> int:
@@ -78,7 +86,7 @@ class Model:
         k = len(self.rows)
         if k == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[k] = np.array(known) - max(known) if known is not None else self._letters(word)
+        self.table[k] = self.word_logs[known] - self.word_logs[known].max() if known is not None else self._letters(word)
         self.rows[word] = k
         return k
 
@@ -98,15 +106,29 @@ class Model:
         return self.languages[best], float(share[best] / share.sum())
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_docs: int = 12_000, most_words: int = 200_000) -> Model:
-    """A model from the rows of docs whose language is not null: a sample of about most_docs by a hash of the id, of
-    which the most_words most frequent pairs of language and word count. Both bounds keep the model small enough for
-    each task; nothing else about a prediction is bounded."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_docs: int = 12_000, longest: int = 4, known: int = 3) -> Model:
+    """A model from the rows of docs whose language and text are not null: of each language a sample by a hash of id and
+    text, together about most_docs, rare languages whole. All words and n-grams that the sample has `known` times count;
+    an n-gram is counted once for each occurrence of its word. Repeated rows count once."""
     rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    rows = sampled(rows.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").alias("kind"), F.col(f"`{text_col}`").alias("text")), most_docs, F.col("doc_id"))
-    counts = save(class_counts(rows, split, once=False), "word-counts")
-    kept = counts.orderBy(F.desc("n"), "word", "kind").limit(most_words).collect()
-    return Model([tuple(r) for r in kept])
+    rows = rows.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").alias("kind"), F.col(f"`{text_col}`").alias("text"))
+    counts = save(class_counts(sampled_by_class(rows, most_docs), split, once=False), "word-counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for kind, word, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "word", "n"))):
+                for g in grams(word, longest):
+                    found[kind, g] += n
+            kinds, words = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.array(found.values(), pa.int64())], ["kind", "word", "n"])
+
+    pieces = counts.mapInArrow(run, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    tables = []
+    for table in (counts, save(pieces, "gram-counts")):
+        often = table.groupBy("word").agg(F.sum("n").alias("all")).where(F.col("all") >= known).select("word")
+        tables.append([tuple(r) for r in table.join(often, "word").select("kind", "word", "n").collect()])
+    return Model(*(sorted(t) for t in tables), longest)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkwright.llm.shared import small
+
 
 _CURRENT: list = []
 
@@ -43,6 +45,23 @@ def sampled(rows: DataFrame, most: int, key: Column) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < int(1_000_000 * most / n))
 
 
+def sampled_by_class(rows: DataFrame, most: int) -> DataFrame:
+    """rows (doc_id, kind, text) -> (kind, text): about `most` different rows at most, shared out equally among the kinds; what
+    a small kind leaves of its share goes to the others. Chosen by a hash of id and text, copies of a row once."""
+    # in order of size, each kind may take an equal share of what the smaller ones have left
+    sizes, left, shares = sorted((r["n"], r["kind"]) for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()), most, []
+    for k, (size, kind) in enumerate(sizes):
+        quota = left / (len(sizes) - k)
+        shares.append((kind, min(1.0, quota / size)))
+        left -= min(size, quota)
+    if not shares:
+        return rows.select("kind", "text")
+    share = small(rows.sparkSession.createDataFrame(shares, "kind string, share double"))
+    key = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    chosen = rows.join(share, "kind").withColumn("key", key).where(F.pmod("key", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    return chosen.dropDuplicates(["kind", "key"]).select("kind", "text")
+
+
 def class_counts(texts: DataFrame, split: Callable[[str], list[str]], once: bool, most: int = 300_000) -> DataFrame:
     """texts (kind, text) -> (kind, word, n): how often, or in how many texts (once), a class has a word.
 
