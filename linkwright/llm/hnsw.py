@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 
 BATCH = 512
@@ -171,19 +169,3 @@ class Graph:
             ids, sims = self._beam(layer, q, entry, beam if layer == 0 else 16)
             entry = ids[:, : 1 if layer > 1 else 4]
         return ids, sims
-
-    def dumps(self) -> bytes:
-        out = io.BytesIO()
-        arrays = {f"near{k}": a for k, a in enumerate(self.near)} | {f"row{k}": a for k, a in enumerate(self.row)}
-        np.savez(out, **arrays)
-        return out.getvalue()
-
-    @classmethod
-    def loads(cls, data: bytes, vectors: np.ndarray) -> Graph:
-        graph = cls.__new__(cls)
-        graph.x = np.ascontiguousarray(vectors, dtype=np.float32)
-        with np.load(io.BytesIO(data)) as z:
-            layers = len(z.files) // 2
-            graph.near, graph.row = [z[f"near{k}"] for k in range(layers)], [z[f"row{k}"] for k in range(layers)]
-        graph.degree = graph.near[-1].shape[1] if layers > 1 else graph.near[0].shape[1] // 2
-        return graph

@@ -1,6 +1,8 @@
 import numpy as np
 
-from linkwright.llm.embedding_dedup import embedding_groups, near_pairs
+from pyspark.sql import functions as F
+
+from linkwright.llm.embedding_dedup import embedding_groups, near_links, near_pairs, recall
 from linkwright.llm.hnsw import Graph
 
 KIND = "vec_id long, embedding array<float>, label int, n_links string"
@@ -57,6 +59,26 @@ def test_against_all_pairs(spark):
         assert got == by_hand(rows())
 
 
+def test_recall_over_many_shards(spark):
+    """One label of twelve shards and rare links: audits see links, and what they miss is below a tenth."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(5400, 32))
+    base[5000:] = base[:400] + rng.normal(size=(400, 32)) * 0.05
+    rows = [(k, "g", v.tolist()) for k, v in enumerate(base)]
+    links = near_links(spark.createDataFrame(rows, "rid long, grp string, embedding array<double>"), shard_rows=450, together=5).persist()
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    true = ((unit @ unit.T) >= 0.98).sum() - len(unit)
+    got = links.where("u is not null").agg(F.sum("n")).first()[0]
+    seen, found = recall(links)
+    assert true > 700 and 0.99 * true <= got <= true and seen > 300 and found >= 0.99 * seen
+
+
+def test_extreme_lengths(spark):
+    rows = [(1, [1e-200, 2e-200], 1, ""), (2, [2e-200, 4e-200], 1, ""), (3, [1e200, 2e200], 1, ""), (4, [1e200, -2e200], 1, ""), (5, [5e-324, 1e-323], 1, "")]
+    got = sorted(tuple(r)[:3] for r in embedding_groups(spark.createDataFrame(rows, KIND.replace("float", "double"))).collect())
+    assert got == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (5, 3, 1)]
+
+
 def test_empty(spark):
     assert embedding_groups(spark.createDataFrame([], KIND)).count() == 0
 
