@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwright.llm.shared import save
+from linkwright.llm.shared import save, small
 from linkwright.llm.training import class_counts, only, sampled
 
 WORDS = re.compile(r"\w+")
@@ -196,9 +196,9 @@ def fit(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> list[float]:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = 20_000, most_terms: int = 4000, support: int = 3
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = 20_000, support: int = 3
 ) -> Model:
-    """A model from labelled rows: a sample of about most_docs of them by a hash of the id, at most most_terms terms.
+    """A model from labelled rows: a sample of about most_docs of them by a hash of the id.
 
     Toxic and other rows are sampled apart, about half of most_docs each, or more if there are fewer of the other kind; the
     intercept is corrected to the shares among all rows.
@@ -210,8 +210,7 @@ def train(
     rows = labels.where(F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("kind")).distinct()
     chosen, skew = _balanced(rows, most_docs)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
-    # the sample is bounded, so it can be broadcast
-    found = save(_keyed(texts.join(F.broadcast(chosen), "doc_id")).dropDuplicates(["kind", "key"]), "labelled")
+    found = save(_keyed(texts.join(small(save(chosen, "sampled-labels")), "doc_id")).dropDuplicates(["kind", "key"]), "labelled")
     totals = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
@@ -221,7 +220,7 @@ def train(
     odds = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1)))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     terms = counts.where(f"bad >= {support}").withColumn("low", odds - error).where(F.col("low") - error > 1.0)
-    chosen_terms = terms.orderBy(F.desc("low"), "word").limit(most_terms).collect()
+    chosen_terms = terms.orderBy(F.desc("low"), "word").collect()
     model = Model({r["word"]: min(r["low"], 8.0) for r in chosen_terms})
     if not model.terms:
         return Model({}, weights=[log(bad / good) - skew, 0, 0, 0, 0, 0])

@@ -1,9 +1,11 @@
 import random
+import re
+from math import exp, log1p
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linkwright.llm.toxicity import Automaton, Model, score, train
+from linkwright.llm.toxicity import ADDRESS, QUOTES, REPORTS, Automaton, Model, score, train
 
 TERMS = ["stupid", "idiot", "scum", "vequ*", "moron", "morons"]
 AUTOMATON = Automaton(TERMS)
@@ -93,6 +95,46 @@ def test_rare_class_is_sampled_apart(spark):
     assert model.score("a1 b2 zstupid zmoronic c3 d4") >= 0.5 and model.score("a1 b2 c3 d4") < 0.01
 
 
+def score_by_hand(model, text):
+    """Word by word, each compared with each term."""
+    words = re.findall(r"\w+", text.lower())
+    at = [m.start() for m in re.finditer(r"\w+", text.lower())]
+    plain_, loose, quoted, seen = 0.0, 0.0, 0.0, set()
+    for k, w in enumerate(words):
+        hits = []
+        for n, term in enumerate(model.terms):
+            if term.endswith("*"):
+                hits += [(0, n)] * w.startswith(term[:-1])
+            elif (d := distance(w, term)) <= (1 if len(term) >= 5 else 0):
+                hits.append((d, n))
+        hit = min(hits, default=None)
+        if hit is None or hit[0] and w in model.clean:
+            continue
+        seen.add(hit[1])
+        low, near = text.lower(), [words[j] for j in range(max(0, k - 6), min(len(words), k + 7)) if j != k]
+        first, last = at[max(0, k - 6)], min(len(words) - 1, k + 6)
+        marks = any(c in QUOTES for c in low[first : at[k]]) and any(c in QUOTES for c in low[at[k] + len(w) : at[last] + len(words[last]) + 2])
+        context = 1.5 * marks + len(set(near) & REPORTS) - 0.75 * len(set(near) & ADDRESS) - 1
+        odds = model.odds[hit[1]]
+        if context > 0:
+            quoted += odds
+        elif hit[0]:
+            loose += odds
+        else:
+            plain_ += odds
+    x = [log1p(v) for v in (plain_, loose, quoted, len(seen), 1000 * (plain_ + loose) / max(1, len(words)))] if seen else [0.0] * 5
+    return 1 / (1 + exp(-(model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x)))))
+
+
+def test_scores_equal_a_plain_computation():
+    rng = random.Random(12)
+    model = Model(dict(zip(TERMS, (3.0, 2.5, 4.0, 1.5, 2.0, 2.2))), clean={"idiom"}, weights=[-3.0, 1.2, 0.7, -0.4, 0.3, 0.2])
+    words = ["stupid", "stupidd", "idiom", "idiot", "vequalor", "moronn", "scun", "scum", "said", "you", "word", '"', "the", "a", "green", "»", "«", "thing"]
+    for _ in range(400):
+        text = " ".join(rng.choices(words, k=rng.randrange(30)))
+        assert abs(model.score(text) - score_by_hand(model, text)) < 1e-12
+
+
 def test_quotation_counts_apart():
     model = Model({"stupid": 5.0})
     plainly, quoted = model.features("you are so stupid and you know it"), model.features('they said the word "stupid" is a term')
