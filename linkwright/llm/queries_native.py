@@ -68,8 +68,44 @@ RULES = [
 
 
 def op10_url_filter(spark, sf_dir):
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
-
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _fits(r: Rule) -> str:
+    return f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+
+
+_LONGEST_FIRST = sorted(RULES, key=lambda r: (-len(r.host + r.path), r.verdict != "block"))
+_RANKS = """
+{0}_shares AS (SELECT {1} AS src, {2} AS dst, n / sum(n) OVER (PARTITION BY {1}) AS share FROM links),
+{0}_seeds AS (SELECT host, {0}::DOUBLE / (SELECT sum(good + bad) FROM seeds) AS seed FROM seeds WHERE {0} > 0),
+{0}_rounds(k, host, rank) AS (
+  SELECT 0, host, seed * 0.15::DOUBLE FROM {0}_seeds
+  UNION ALL
+  SELECT k + 1, host, sum(x) FROM (
+    SELECT k, dst AS host, rank * share * 0.85::DOUBLE AS x FROM {0}_rounds JOIN {0}_shares ON src = host
+    UNION ALL SELECT k, s.host, seed * 0.15::DOUBLE FROM {0}_seeds s, (SELECT DISTINCT k FROM {0}_rounds)) WHERE k < 60 GROUP BY k, host),
+{0}_ranks AS (SELECT host, rank FROM {0}_rounds WHERE k = 60)"""
+OP10_SQL = rf"""
+WITH RECURSIVE p AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+j AS (
+  SELECT *, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.host}{r.path}'" for r in _LONGEST_FIRST)} END AS rule,
+         CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.verdict}'" for r in _LONGEST_FIRST)} END AS ruled FROM h),
+seeds AS (SELECT host, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM j WHERE host <> '' GROUP BY host),
+targets AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?(?:https?:)?//([^/?#"''\s<>]+)', 1)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target FROM h),
+links AS (
+  SELECT src, regexp_replace(target, '^[^@]*@|:\d*$', '', 'g') AS dst, count(*) AS n FROM targets
+  WHERE src <> '' AND regexp_replace(target, '^[^@]*@|:\d*$', '', 'g') NOT IN ('', src) GROUP BY 1, 2),
+{_RANKS.format("good", "src", "dst")},
+{_RANKS.format("bad", "dst", "src")}
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(b.rank, 0) > coalesce(g.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN good_ranks g ON g.host = j.host LEFT JOIN bad_ranks b ON b.host = j.host
+"""
 
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op10_url_filter": op10_url_filter}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op10_url_filter": OP10_SQL}

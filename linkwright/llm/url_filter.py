@@ -59,20 +59,21 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, rounds: int = 30) -> DataFrame:
-    """Personalised PageRank: edges (src, dst, n), seeds (host, mass) -> (host, rank). Mass of hosts without links goes back to no one.
+def spread(edges: DataFrame, seeds: DataFrame, total: float, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+    """Personalised PageRank: edges (src, dst, n), seeds (host, mass) -> (host, rank), masses being divided by `total`.
+    The share of hosts without links goes back to no one.
 
-    Stops when a round moves less than `tolerance` of the mass. Each round is a join of edges with ranks, unique by
-    host, and a pre-aggregated sum; its table is saved, so that the plan does not grow.
+    Ends when a round moves less than `tolerance` of the mass; as each round moves `damping` of what the one before did at
+    most, that takes log(tolerance) / log(damping) rounds at the longest, 57 by default. Each round is a join of edges
+    with ranks, unique by host, and a pre-aggregated sum; its table is saved, so that the plan does not grow.
     """
-    total = seeds.agg(F.sum("mass")).first()[0] or 0.0
     start = save(seeds.where("mass > 0").select("host", (F.col("mass") / F.lit(total or 1.0)).alias("seed")), "seeds")
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     share = save(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "shares")
-    rank = start.select("host", F.col("seed").alias("rank"))
+    rank, moved = start.select("host", (F.col("seed") * (1 - damping)).alias("rank")), 1.0
     if not share.head(1):
         return rank
-    for _ in range(rounds):
+    while moved >= tolerance:
         sent = share.join(small(rank), F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         after = start.join(sent, F.col("host") == F.col("dst"), "full").select(
             F.coalesce("host", "dst").alias("host"),
@@ -82,8 +83,6 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance:
         gap = after.join(rank.select(F.col("host").alias("h"), F.col("rank").alias("r")), F.col("host") == F.col("h"), "full")
         moved = gap.agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("r", F.lit(0.0))))).first()[0] or 0.0
         rank = after
-        if moved < tolerance:
-            break
     return rank
 
 
@@ -100,8 +99,8 @@ def judge(
 
     A rule's verdict holds for the pages it fits. Pages without a rule follow their host: trust spreads along links
     from hosts with allowed pages, distrust against them from hosts with blocked pages (who links there is suspect),
-    seeds weighing as many pages as the rules judge; the host is blocked if distrust exceeds trust by more than
-    `threshold`. Hosts that neither reaches, and pages whose url is null or has no '://', get `default`.
+    seeds weighing as many pages as the rules judge, both as a share of all pages that they judge; the host is blocked if
+    distrust exceeds trust by more than `threshold`. Hosts that neither reaches, and pages whose url is null or has no '://', get `default`.
     Repeated rows are judged one by one and add to their host's seeds; null html has no links.
     """
     url = F.col(f"`{url_col}`")
@@ -110,8 +109,9 @@ def judge(
     seeds = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").cast("double").alias("good"), F.count_if(F.col("ruled") == "block").cast("double").alias("bad"))
     seeds = save(seeds, "host-seeds")
     edges = save(link_edges(pages, url_col, html_col), "host-edges")
-    trust = spread(edges, seeds.select("host", F.col("good").alias("mass")))
-    against = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds.select("host", F.col("bad").alias("mass")))
+    total = seeds.agg(F.sum(F.col("good") + F.col("bad"))).first()[0] or 0.0
+    trust = spread(edges, seeds.select("host", F.col("good").alias("mass")), total)
+    against = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds.select("host", F.col("bad").alias("mass")), total)
     scores = trust.select(F.col("host").alias("th"), F.col("rank").alias("trust")).join(against.select(F.col("host").alias("dh"), F.col("rank").alias("distrust")), F.col("th") == F.col("dh"), "full")
     scores = save(scores.select(F.coalesce("th", "dh").alias("scored"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "host-scores")
     by_host = F.when(F.col("scored").isNull(), F.lit(default)).when(F.col("distrust") - F.col("trust") > threshold, F.lit("block")).otherwise(F.lit("allow"))
