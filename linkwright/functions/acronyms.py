@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 # Words that join the parts of a name, and abbreviations of legal forms.
 CONNECTORS = ["and", "&", "of", "the", "und", "et", "de", "des", "du", "van", "von", "di", "la", "le", "les", "del", "della"]
-LEGAL_SUFFIXES = (
-    "llc ltd limited gmbh bv inc incorporated corp corporation ag sa srl nv plc llp lp co pty kg se ab oy as spa sarl sl kk bhd pvt pte hf ehf"
-).split()
+LEGAL_SUFFIXES = [
+    "llc", "ltd", "limited", "gmbh", "bv", "inc", "incorporated", "corp", "corporation", "ag", "sa", "srl",
+    "nv", "plc", "llp", "lp", "co", "pty", "kg", "se", "ab", "oy", "as", "spa", "sarl", "sl", "kk", "bhd",
+    "pvt", "pte", "hf", "ehf",
+]
 
 
 def name_words(name: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -69,11 +71,15 @@ SCORERS = {"ratio": ratio, "partial_ratio": partial_ratio, "token_sort": token_s
 def _vectorized(name: str):
     scorer = SCORERS[name]
 
-    @pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        pairs = list(zip(a, b))  # each different pair of a batch is scored once
-        scores = {p: scorer(*p) for p in set(pairs)}
-        return pd.Series([scores[p] for p in pairs], dtype="float64")
+    @arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        # each different pair of a batch is scored once, and only its values become Python strings
+        a, b = (pc.fill_null(x, "").dictionary_encode() for x in (a, b))
+        code = a.indices.to_numpy().astype(np.int64) * max(1, len(b.dictionary)) + b.indices.to_numpy()
+        pairs, back = np.unique(code, return_inverse=True)
+        left, right = a.dictionary.to_pylist(), b.dictionary.to_pylist()
+        scores = [scorer(left[p // len(right)], right[p % len(right)]) for p in pairs.tolist()]
+        return pa.array(np.array(scores, dtype=float)[back])
 
     return run
 

@@ -103,6 +103,31 @@ def classify(score: Column, auto: float, floor: float) -> Column:
     return F.when(score >= auto, F.lit("auto")).when(score >= floor, F.lit("review")).otherwise(F.lit("no_match"))
 
 
-def row_hash(*fields: Column) -> Column:
-    """A hash of the trimmed texts that an encoding depends on, separated so that no two lists of fields collide by joining."""
-    return F.xxhash64(F.array_join(F.array(*[text(f) for f in fields]), "\x00"))
+def fnv1a(data: Column) -> Column:
+    """The 64-bit FNV-1a hash of a binary column, as 16 hexadecimal digits.
+
+    The prime is 2 ** 40 + 435, so a step on the two halves of 32 bits needs no product beyond 64 bits.
+    """
+    low = F.lit(0xFFFFFFFF)
+    # fixed value: the hash of nothing
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+
+    def step(h: Column, byte: Column) -> Column:
+        lo = h["lo"].bitwiseXOR(F.conv(byte, 16, 10).cast("long"))
+        product = lo * 435
+        hi = h["hi"] * 435 + F.shiftright(product, 32) + F.shiftleft(lo, 8)
+        return F.struct(hi.bitwiseAND(low).alias("hi"), product.bitwiseAND(low).alias("lo"))
+
+    out = F.aggregate(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1)), start, step)
+    half = lambda n: F.lower(F.lpad(F.hex(out[n]), 8, "0"))
+    return F.concat(half("hi"), half("lo"))
+
+
+def fnv1a_8(c: Column) -> Column:
+    """The last eight hexadecimal digits of the hash of a string."""
+    return F.substring(fnv1a(F.encode(F.coalesce(c, F.lit("")), "utf-8")), 9, 8)
+
+
+def text_hash(*fields: Column) -> Column:
+    """The hash of the trimmed texts that an encoding depends on, each followed by a byte that no UTF-8 text has."""
+    return fnv1a(F.concat(*[x for f in fields for x in (F.encode(text(f), "utf-8"), F.lit(b"\xff"))]))

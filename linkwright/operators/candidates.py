@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwright.functions.acronyms import acronyms
-from linkwright.functions.scalar import bm25_normalised, bm25_term, clamp, dot, idf, key, tokens, unit
+from linkwright.functions.scalar import bm25_normalised, bm25_term, clamp, idf, key, tokens
+from linkwright.operators.settle import settled
 
 
 def keyed(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -17,30 +22,44 @@ def keyed(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.withColumns({f"block_{k}": key(F.col(f)) for k, f in enumerate(fields)})
 
 
+def _by_mask(queries: DataFrame, pool: DataFrame, fields: Sequence[tuple[str, str]]):
+    """For each set of fields that a query can have: (those queries, the pool, their shared key columns). A field that is
+    empty in the query sets no condition; pool rows with an empty field only match queries without it."""
+    q, p = keyed(queries, [b for b, _ in fields]), keyed(pool, [a for _, a in fields])
+    names = [f"block_{k}" for k in range(len(fields))]
+    for has in product([True, False], repeat=len(fields)):
+        mask = F.lit(True)
+        for n, x in zip(names, has):
+            mask = mask & ((F.col(n) != "") if x else (F.col(n) == ""))
+        used = [n for n, x in zip(names, has) if x]
+        own, other = (df.drop(*[n for n in names if n not in used]) for df in (q.where(mask), p))
+        yield own, other, used
+
+
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def block_pairs(queries: DataFrame, pool: DataFrame, fields: Sequence[tuple[str, str]], all_if_keyless: bool = True) -> DataFrame:
     """Pairs that agree on all blocking fields (b field, a field), ignoring case and outer spaces.
 
-    A field that is empty in the query sets no condition; pool rows with an empty field only match queries without it.
     Queries are split by which fields they have, each part being one equi-join; a query without any pairs with the whole
     pool (all_if_keyless) or with nothing.
     """
-    q = keyed(queries.select("b_id", *dict.fromkeys(b for b, _ in fields)), [b for b, _ in fields]).select("b_id", *[f"block_{k}" for k in range(len(fields))])
-    p = keyed(pool.select("a_id", *dict.fromkeys(a for _, a in fields)), [a for _, a in fields]).select("a_id", *[f"block_{k}" for k in range(len(fields))])
+    q, p = queries.select("b_id", *dict.fromkeys(b for b, _ in fields)), pool.select("a_id", *dict.fromkeys(a for _, a in fields))
     parts = []
-    for has in product([True, False], repeat=len(fields)):
-        mask = F.lit(True)
-        for k, x in enumerate(has):
-            mask = mask & ((F.col(f"block_{k}") != "") if x else (F.col(f"block_{k}") == ""))
-        own = q.where(mask)
-        used = [f"block_{k}" for k, x in enumerate(has) if x]
+    for own, other, used in _by_mask(q, p, fields):
         if used:
-            parts.append(own.select("b_id", *used).join(p.select("a_id", *used), used).select("b_id", "a_id"))
+            parts.append(own.select("b_id", *used).join(other.select("a_id", *used), used).select("b_id", "a_id"))
         elif all_if_keyless:
-            parts.append(own.select("b_id").crossJoin(p.select("a_id")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+            parts.append(own.select("b_id").crossJoin(other.select("a_id")))
+    return _union(parts)
+
+
+def with_block(queries: DataFrame, pool: DataFrame, fields: Sequence[tuple[str, str]]) -> DataFrame:
+    """The b_ids of queries whose block has a pool row, without making pairs."""
+    q, p = queries.select("b_id", *dict.fromkeys(b for b, _ in fields)), pool.select("a_id", *dict.fromkeys(a for _, a in fields))
+    return _union(own.join(other.select(*used) if used else other.limit(1).select(F.lit(1).alias("one")), used or F.lit(True), "left_semi").select("b_id") for own, other, used in _by_mask(q, p, fields))
 
 
 def top_k(pairs: DataFrame, score: str, k: int) -> DataFrame:
@@ -51,12 +70,86 @@ def top_k(pairs: DataFrame, score: str, k: int) -> DataFrame:
     return pairs.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k).drop("_place")
 
 
-def nearest_vectors(queries: DataFrame, pool: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(b_id, a_id, similarity): the k nearest of each query's blocked candidates by cosine, exact within the block."""
-    q = queries.select("b_id", unit(F.col("b_vector")).alias("q"))
-    p = pool.select("a_id", unit(F.col("a_vector")).alias("p"))
-    scored = pairs.join(q, "b_id").join(p, "a_id").select("b_id", "a_id", clamp(dot(F.col("q"), F.col("p"))).alias("similarity"))
-    return top_k(scored, "similarity", k)
+#: Pool vectors that a task compares with at once, and queries that it compares with them.
+TILE, SLICE = 4096, 65_536
+
+
+def nearest_vectors(queries: DataFrame, pool: DataFrame, k: int, blocks: Sequence[tuple[str, str]] = (), skip_self: bool = False, allowed: DataFrame | None = None, tile: int = TILE, slice_: int = SLICE) -> DataFrame:
+    """(b_id, a_id, similarity): the k nearest (0: all) of each query's blocked candidates by the cosine of b_vector and
+    a_vector, exact within the block, similarities rounded to nine digits and clamped to [0, 1], ties by a_id. `allowed`
+    (a_id) narrows the pool before the search, so that k are found among those allowed.
+
+    A block is cut into tiles of pool vectors and slices of queries. A task holds one tile and lets the queries pass,
+    one matrix product for each batch, of which only the k best of the tile leave it: no pair of a block is made as a
+    row, and blocks of any size spread over tasks.
+    """
+    if allowed is not None:
+        pool = pool.join(allowed.select("a_id").distinct(), "a_id", "left_semi")
+    q, p = queries.select("b_id", "b_vector", *dict.fromkeys(b for b, _ in blocks)), pool.select("a_id", "a_vector", *dict.fromkeys(a for _, a in blocks))
+    parts = []
+    for own, other, used in _by_mask(q, p, blocks):
+        block = F.to_json(F.array(*used)) if used else F.lit("")
+        own, other = own.select(block.alias("block"), F.col("b_id").alias("id"), F.col("b_vector").alias("v")), other.select(block.alias("block"), F.col("a_id").alias("id"), F.col("a_vector").alias("v"))
+        parts.append(_tiled(own, other, k + skip_self if k else 0, tile, slice_))
+    best = _union(parts)
+    best = top_k(best.where("b_id <> a_id") if skip_self else best, "similarity", k)
+    return best.withColumn("similarity", clamp(F.col("similarity")))
+
+
+def _tiled(queries: DataFrame, pool: DataFrame, k: int, tile: int, slice_: int) -> DataFrame:
+    """queries and pool (block, id, v) -> (b_id, a_id, similarity): at least the k nearest of each tile."""
+    tiles = pool.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    slices = queries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / slice_).cast("int").alias("slices"))
+    sizes = tiles.join(slices, "block")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = pool.join(sizes, "block").select("block", place("tiles").alias("tile"), each("slices").alias("slice"), F.lit(0).alias("query"), "id", "v")
+    asked = queries.join(sizes, "block").select("block", each("tiles").alias("tile"), place("slices").alias("slice"), F.lit(1).alias("query"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, vectors, matrix = None, [], [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "tile", "slice", "query"))))
+            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                *here, query = keys[a]
+                if here != key:
+                    key, ids, vectors, matrix = here, [], [], None
+                part = batch.slice(a, b - a)
+                if not query:
+                    ids += part.column("id").to_pylist()
+                    vectors.append(part.column("v"))
+                elif ids:
+                    if matrix is None:
+                        matrix = _matrix(vectors)
+                    for at in range(0, b - a, 512):
+                        some = part.slice(at, 512)
+                        yield nearest(some.column("id").to_pylist(), _matrix([some.column("v")]), ids, matrix)
+
+    def nearest(q_ids: list, q: np.ndarray, ids: list, x: np.ndarray) -> pa.RecordBatch:
+        s = np.round(q @ x.T, 9) if q.shape[1] == x.shape[1] else np.zeros((len(q), len(x)))
+        if 0 < k < len(ids):
+            i, j = np.nonzero(s >= np.partition(s, -k, axis=1)[:, -k][:, None])
+        else:
+            i, j = (x.ravel() for x in np.indices(s.shape))
+        return pa.RecordBatch.from_arrays([pa.array([q_ids[n] for n in i]), pa.array([ids[n] for n in j]), pa.array(s[i, j])], ["b_id", "a_id", "similarity"])
+
+    names = ["block", "tile", "slice"]
+    rows = held.unionByName(asked).repartition(*names).sortWithinPartitions(*names, "query", "id")
+    return rows.mapInArrow(run, "b_id string, a_id string, similarity double")
+
+
+def _matrix(columns: list[pa.Array]) -> np.ndarray:
+    """Unit vectors as rows; vectors that are null or shorter than the longest are filled with zeros, zero stays zero."""
+    rows = [np.array(v or [], dtype=float) for c in columns for v in c.to_pylist()] if any(len(set(pc.list_value_length(c).to_pylist())) > 1 or c.null_count for c in columns) else None
+    if rows is None:
+        out = np.concatenate([c.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(c), -1) for c in columns])
+    else:
+        out = np.zeros((len(rows), max(map(len, rows))))
+        for n, v in enumerate(rows):
+            out[n, : len(v)] = v
+    length = np.sqrt((out * out).sum(axis=1))[:, None]
+    return np.divide(out, length, out=out, where=length > 0)
 
 
 def corpus_stats(pool: DataFrame, text: str = "a_text") -> DataFrame:
@@ -71,11 +164,11 @@ def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return each.select(id_col, F.size("t").alias("length"), F.explode("t").alias("term")).groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_raw(queries: DataFrame, pool: DataFrame, pairs: DataFrame | None = None, blocks: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def bm25_raw(queries: DataFrame, pool: DataFrame, blocks: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(b_id, a_id, raw): BM25 of each query's different terms against the pool, whose statistics cover all of it.
 
-    `blocks`, fields that must agree and be filled, join the condition on the term, so that a frequent term only meets
-    its own block; `pairs`, the blocked pairs, restrict the result where the blocking is not that simple.
+    The fields of `blocks` (b field, a field) join the condition on the term, so that a frequent term only meets its own
+    block; a query's empty fields set no condition.
     """
     stats = corpus_stats(pool)
     postings = term_counts(pool, "a_id", "a_text")
@@ -83,17 +176,11 @@ def bm25_raw(queries: DataFrame, pool: DataFrame, pairs: DataFrame | None = None
     weights = postings.join(frequency, "term").join(F.broadcast(stats))
     weight = bm25_term(F.col("tf"), idf(F.col("docs"), F.col("df")), F.col("length"), F.col("average"))
     weights = weights.select("a_id", "term", weight.alias("w"))
-    terms = queries.select("b_id", F.explode(F.array_distinct(tokens(F.col("b_text")))).alias("term"))
     if blocks:
-        names = [f"block_{k}" for k in range(len(blocks))]
-        terms = terms.join(keyed(queries, [b for b, _ in blocks]).select("b_id", *names), "b_id")
-        weights = weights.join(keyed(pool, [a for _, a in blocks]).select("a_id", *names), "a_id")
-        found = terms.join(weights, ["term", *names])
-    else:
-        found = terms.join(weights, "term")
-    if pairs is not None:
-        found = found.join(pairs, ["b_id", "a_id"])
-    return found.groupBy("b_id", "a_id").agg(F.sum("w").alias("raw"))
+        weights = settled(weights.join(pool.select("a_id", *dict.fromkeys(a for _, a in blocks)), "a_id"))
+    terms = queries.select("b_id", *dict.fromkeys(b for b, _ in blocks), F.explode(F.array_distinct(tokens(F.col("b_text")))).alias("term"))
+    parts = [own.join(other, ["term", *used]).groupBy("b_id", "a_id").agg(F.sum("w").alias("raw")) for own, other, used in _by_mask(terms, weights, blocks)]
+    return _union(parts)
 
 
 def bm25_self(queries: DataFrame, pool: DataFrame) -> DataFrame:
@@ -105,9 +192,9 @@ def bm25_self(queries: DataFrame, pool: DataFrame) -> DataFrame:
     return each.groupBy("b_id").agg(F.sum(term).alias("own"))
 
 
-def bm25_top(queries: DataFrame, pool: DataFrame, k: int, pairs: DataFrame | None = None, blocks: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def bm25_top(queries: DataFrame, pool: DataFrame, k: int, blocks: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(b_id, a_id, raw, bm25): the k best of each query, and their score over the query's own."""
-    best = top_k(bm25_raw(queries, pool, pairs, blocks), "raw", k)
+    best = top_k(bm25_raw(queries, pool, blocks), "raw", k)
     return best.join(bm25_self(queries, pool), "b_id").select("b_id", "a_id", "raw", bm25_normalised(F.col("raw"), F.col("own")).alias("bm25"))
 
 

@@ -34,18 +34,18 @@ def ranked(pairs: DataFrame, auto: float, floor: float, min_gap: float = 0.0, to
 def claim(ranks: DataFrame, auto: float, mapped: DataFrame | None = None, small: int = 200_000) -> DataFrame:
     """(b_id, a_id, score, rank, reason) of the pairs that are confirmed, one to one.
 
-    The outcome is that of going through the queries by b_id, each taking its best auto match that is still free.
-    All records of A rank the queries alike, by b_id, so deferred acceptance gives just that: in each round every query
-    without a holder proposes to its best candidate that has not turned it down, and a candidate holds the smallest
-    b_id that has proposed to it. At most `small` contested edges are settled in one task on the driver; beyond that in
-    rounds whose tables are checkpointed.
+    The outcome is that of going through the queries by b_id, each taking its best auto match (by score, then a_id; rank is
+    only shown) that is still free. All records of A rank the queries alike, by b_id, so deferred acceptance gives just
+    that: in each round every query without a holder proposes to its best candidate that does not hold a smaller b_id, and
+    a candidate holds the smallest that has proposed to it. At most `small` contested edges are settled in one task on the
+    driver; beyond that in rounds whose tables are checkpointed.
     """
     edges = ranks.where(F.col("score") >= auto).select("b_id", "a_id", "score", "rank", "reason")
     if mapped is not None:
         edges = edges.join(mapped.select("a_id"), "a_id", "left_anti").join(mapped.select("b_id"), "b_id", "left_anti")
     spark = ranks.sparkSession
     edges = settled(edges)
-    pairs = edges.limit(small + 1).select("b_id", "a_id", "rank").collect()
+    pairs = edges.limit(small + 1).select("b_id", "a_id", "score").collect()
     if len(pairs) <= small:
         won = _serial(spark, edges, pairs)
     else:
@@ -57,7 +57,7 @@ def _serial(spark: SparkSession, edges: DataFrame, pairs: list) -> DataFrame:
     taken: set = set()
     done: set = set()
     won = []
-    for r in sorted(pairs, key=lambda r: (r["b_id"], r["rank"], r["a_id"])):
+    for r in sorted(pairs, key=lambda r: (r["b_id"], -r["score"], r["a_id"])):
         if r["b_id"] not in done and r["a_id"] not in taken:
             done.add(r["b_id"])
             taken.add(r["a_id"])
@@ -66,18 +66,25 @@ def _serial(spark: SparkSession, edges: DataFrame, pairs: list) -> DataFrame:
 
 
 def _rounds(edges: DataFrame) -> DataFrame:
-    """Deferred acceptance; edges that were turned down go, until each query's best edge is held."""
-    open_ = edges.select("b_id", "a_id", "rank")
-    first = Window.partitionBy("b_id").orderBy("rank", "a_id")
+    """Deferred acceptance: the pairs that are held when nobody is left to propose.
+
+    Only queries that were turned down or displaced ask again, further down their lists, and they pass over candidates
+    that hold a smaller b_id already, since those would turn them down.
+    """
+    lists = settled(edges.withColumn("place", F.row_number().over(best_first())).select("b_id", "a_id", "place"))
+    held = lists.limit(0)
+    asking = lists.select("b_id").distinct().withColumn("from", F.lit(1))
     while True:
-        proposals = open_.withColumn("n", F.row_number().over(first)).where("n = 1").select("b_id", "a_id")
-        held = proposals.groupBy("a_id").agg(F.min("b_id").alias("holder"))
-        # a candidate turns down whoever comes after its holder, now and later
-        rest = open_.join(held, "a_id", "left").where("holder is null or b_id <= holder").select("b_id", "a_id", "rank")
-        rest = settled(rest)
-        if rest.count() == open_.count():
-            return proposals
-        open_ = rest
+        left = lists.join(asking, "b_id").where(F.col("place") >= F.col("from")).join(held.select("a_id", F.col("b_id").alias("holder")), "a_id", "left")
+        proposals = left.where("holder is null or b_id < holder").groupBy("b_id").agg(F.min(F.struct("place", "a_id")).alias("x")).select("b_id", "x.a_id", "x.place")
+        every = settled(held.unionByName(proposals))
+        first = every.groupBy("a_id").agg(F.min("b_id").alias("holder"))
+        judged = settled(every.join(first, "a_id"))
+        held = judged.where("b_id = holder").select("b_id", "a_id", "place")
+        lost = judged.where("b_id <> holder")
+        if not lost.head(1):
+            return held.select("b_id", "a_id")
+        asking = lost.select("b_id", (F.col("place") + 1).alias("from"))
 
 
 def outcomes(ranks: DataFrame, claims: DataFrame, queries: DataFrame, auto: float, floor: float) -> DataFrame:
@@ -86,10 +93,10 @@ def outcomes(ranks: DataFrame, claims: DataFrame, queries: DataFrame, auto: floa
     A query without a claim gets its first candidate below auto: review if it reaches the floor, else no_match; if
     all its candidates were auto matches taken by others, no_match with its best score.
     """
-    lost = ranks.join(claims.select("b_id"), "b_id", "left_anti")
-    next_ = lost.where(F.col("score") < auto).groupBy("b_id").agg(F.min_by(F.struct("a_id", "score", "rank", "reason"), F.struct("rank", "a_id")).alias("x"))
-    best = lost.groupBy("b_id").agg(F.min_by(F.struct("a_id", "score", "rank", "reason"), F.struct("rank", "a_id")).alias("y"))
-    other = queries.select("b_id").join(claims.select("b_id"), "b_id", "left_anti").join(next_, "b_id", "left").join(best, "b_id", "left")
+    lost, order = ranks.join(claims.select("b_id"), "b_id", "left_anti"), F.struct(-F.col("score"), "a_id")
+    found = F.struct("a_id", "score", "rank", "reason")
+    firsts = lost.groupBy("b_id").agg(F.min_by(found, F.when(F.col("score") < auto, order)).alias("x"), F.min_by(found, order).alias("y"))
+    other = queries.select("b_id").join(claims.select("b_id"), "b_id", "left_anti").join(firsts, "b_id", "left")
     review = F.col("x.score") >= floor
     pick = F.coalesce(F.col("x"), F.col("y"))
     rest = other.select("b_id", F.when(review, "review").otherwise("no_match").alias("relationship_type"), pick["a_id"].alias("a_id"), pick["score"].alias("score"), pick["rank"].alias("rank"), F.when(review, pick["reason"]).otherwise(F.lit("below_floor")).alias("reason"))

@@ -4,14 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and checkpointed to the folder of spark.checkpoint.dir: later plans start at its files and
-    survive lost executors. Only where no folder is set (a local session), a temporary one is."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, set for checkpoints. Only a local session gets a temporary one where none is set:
+    on a cluster executors would not share it."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkwright-"))
+    known = sc._jsc.sc().getCheckpointDir()
+    if not known.isEmpty():
+        return known.get()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="linkwright-")
+    sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and checkpointed: later plans start at its files and survive lost executors. Checkpoints go when
+    the driver no longer refers to them, if spark.cleaner.referenceTracking.cleanCheckpoints is set, as the command line does."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()

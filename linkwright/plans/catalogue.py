@@ -240,7 +240,7 @@ def synonym_groups(spark, d):
 UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
 COSINES = f"""
 v AS (SELECT vec_id::VARCHAR AS id, label, {UNIT} AS u FROM embeddings),
-c AS (SELECT q.id AS b_id, p.id AS a_id, greatest(0, least(1, list_dot_product(q.u, p.u))) AS similarity FROM v q JOIN v p USING (label) WHERE q.id <> p.id)"""
+c AS (SELECT q.id AS b_id, p.id AS a_id, least(1, list_dot_product(q.u, p.u)) AS similarity FROM v q JOIN v p USING (label) WHERE q.id <> p.id)"""
 
 
 def _vectors(spark, d, side):
@@ -250,9 +250,14 @@ def _vectors(spark, d, side):
 @query(f"WITH {COSINES} SELECT b_id, a_id, round(similarity, 4) AS similarity FROM c QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY round(similarity, 9) DESC, a_id) <= 10")
 def cosine_topk(spark, d):
     q, p = _vectors(spark, d, "b"), _vectors(spark, d, "a")
-    pairs = candidates.without_self(candidates.block_pairs(q, p, [("b_label", "a_label")], all_if_keyless=False))
-    near = candidates.nearest_vectors(q, p, pairs, 0).withColumn("shown", F.round("similarity", 9))
-    return candidates.top_k(near, "shown", 10).select("b_id", "a_id", r4("similarity"))
+    return candidates.nearest_vectors(q, p, 10, [("b_label", "a_label")], skip_self=True).select("b_id", "a_id", r4("similarity"))
+
+
+@query(f"WITH {COSINES} SELECT b_id, a_id, round(similarity, 4) AS similarity FROM c WHERE right(a_id, 1) IN ('0', '3', '7') QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY round(similarity, 9) DESC, a_id) <= 5")
+def cosine_topk_allowed(spark, d):
+    q, p = _vectors(spark, d, "b"), _vectors(spark, d, "a")
+    allowed = p.where(F.right("a_id", F.lit(1)).isin("0", "3", "7")).select("a_id")
+    return candidates.nearest_vectors(q, p, 5, [("b_label", "a_label")], skip_self=True, allowed=allowed).select("b_id", "a_id", r4("similarity"))
 
 
 @query(

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.functions.encoder import Remote, encoded, onnx_encoder
-from linkwright.functions.scalar import cosine, joined
+from linkwright.functions.scalar import combined, cosine, joined
 from linkwright.operators import candidates as gen
 from linkwright.operators import prematch, ranking, scoring, tables
 from linkwright.operators.settle import settled
+from linkwright.plans import cache as vector_cache
 from linkwright.plans.config import Config
 from linkwright.sources import readers, sinks
 
@@ -42,38 +43,41 @@ def _encoder_column(c: Config, text):
     return encoded(text, lambda: onnx_encoder(f"{model}/model.onnx", f"{model}/tokenizer.json"))
 
 
-def with_vectors(c: Config, df: DataFrame, side: str) -> DataFrame:
-    """df with a vector column vec_<field> for each embedded field, and their weighted combination <side>_vector."""
-    fields = [f for f in c.fields if f.method == "embedding"]
+def with_vectors(c: Config, df: DataFrame, side: str, cache: str | None = None) -> DataFrame:
+    """df with a vector column vec_<field> for each embedded field, and their weighted combination <side>_vector. With a
+    cache folder (by default the configuration's cache_dir) texts that it has are not encoded again."""
+    fields, cache = [f for f in c.fields if f.method == "embedding"], cache or c.encoder.get("cache_dir")
     for f in fields:
         name = getattr(f, f"field_{side}")
-        df = df.withColumn(f"vec_{side}_{name}", _encoder_column(c, F.trim(F.col(f"{side}_{name}"))))
+        text, vector = F.trim(F.col(f"{side}_{name}")), f"vec_{side}_{name}"
+        if cache:
+            df = vector_cache.with_cached(df, text, vector, lambda x: _encoder_column(c, x), cache, model_of(c))
+        else:
+            df = df.withColumn(vector, _encoder_column(c, text))
     if fields:
-        from linkwright.functions.scalar import combined
-
         df = df.withColumn(f"{side}_vector", combined([(F.col(f"vec_{side}_{getattr(f, f'field_{side}')}"), f.weight) for f in fields]))
     return df
 
 
+def model_of(c: Config) -> str:
+    """What a cached vector depends on besides its text."""
+    command = c.encoder.get("remote_encoder_cmd")
+    return " ".join(command) if isinstance(command, list) else command or c.encoder.get("model") or "hashed"
+
+
 def candidate_pairs(c: Config, a: DataFrame, b: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """The pairs to score, and the BM25 scores of those that BM25 found."""
-    blocks = [(y, x) for x, y in c.blocking]
-    named = [(f"b_{y}", f"a_{x}") for y, x in blocks]
+    named = [(f"b_{y}", f"a_{x}") for x, y in c.blocking]
     methods = {f.method for f in c.fields}
-    blocked = None
-    if named:
-        blocked = gen.block_pairs(b, a, named)
-    elif c.candidates == "blocked" or "embedding" in methods:
-        blocked = b.select("b_id").crossJoin(a.select("a_id"))  # no blocking asked for: the pool is one block
     sources, bm25 = {}, None
-    if c.candidates == "blocked":
-        sources["blocked"] = blocked
+    if c.candidates == "blocked":  # asked for explicitly: without blocking fields that is every pair
+        sources["blocked"] = gen.block_pairs(b, a, named) if named else b.select("b_id").crossJoin(a.select("a_id"))
     if "embedding" in methods:
-        sources["ann"] = gen.nearest_vectors(b, a, blocked, c.ann_candidates).select("b_id", "a_id")
+        sources["ann"] = gen.nearest_vectors(b, a, c.ann_candidates, named).select("b_id", "a_id")
     if "bm25" in methods:
         qa = a.withColumn("a_text", joined(*[F.col(f"a_{x}") for x, _ in c.bm25_fields]))
         qb = b.withColumn("b_text", joined(*[F.col(f"b_{y}") for _, y in c.bm25_fields]))
-        bm25 = gen.bm25_top(qb, qa, c.bm25_candidates, blocked).select("b_id", "a_id", "bm25")
+        bm25 = gen.bm25_top(qb, qa, c.bm25_candidates, named).select("b_id", "a_id", "bm25")
         bm25 = settled(bm25)
         sources["bm25"] = bm25.select("b_id", "a_id")
     if "synonym" in methods:
@@ -81,8 +85,8 @@ def candidate_pairs(c: Config, a: DataFrame, b: DataFrame, groups: DataFrame | N
         for x, y, least in c.synonym_fields:
             one = gen.synonym_pairs(b, a, f"b_{y}", f"a_{x}", least, groups)
             found = one if found is None else found.unionByName(one)
-        if blocked is not None and named:  # a query with an empty block has no candidates at all
-            found = found.join(blocked.select("b_id").distinct(), "b_id", "left_semi")
+        if named:  # a query with an empty block has no candidates at all
+            found = found.join(gen.with_block(b, a, named), "b_id", "left_semi")
         sources["synonym"] = found.distinct()
     if not sources:
         return b.sparkSession.createDataFrame([], "b_id string, a_id string"), bm25
@@ -156,8 +160,8 @@ def run(spark: SparkSession, c: Config) -> Result:
 
 
 def log_events(result: Result) -> DataFrame:
-    """The events of a run, in order of b_id."""
-    r, null = result.relationships, lambda t: F.lit(None).cast(t)
+    """The events of a run, in order of b_id: ids made from partition and place rise along a sort by ranges."""
+    r, null = result.relationships.orderBy("b_id"), lambda t: F.lit(None).cast(t)
     kind = F.when(F.col("relationship_type") == "match", "crossmap_confirm").when(F.col("relationship_type") == "review", "review_match").otherwise("no_match_below")
     return r.select(
         F.monotonically_increasing_id().alias("seq"), F.current_timestamp().alias("ts"), kind.alias("type"), F.lit("b").alias("side"), F.col("b_id").alias("id"), null("map<string,string>").alias("record"),
@@ -176,9 +180,10 @@ def write(spark: SparkSession, c: Config, result: Result) -> None:
     listed = result.relationships.where("relationship_type <> 'no_match'").unionByName(near).unionByName(runners.select(*result.relationships.columns))
     listed = listed.dropDuplicates(["a_id", "b_id", "relationship_type"])
     if out.get("path"):
-        sinks.append_match_log(log_events(result), f"{out['path']}/match_log", uuid.uuid4().hex)
+        run_id = uuid.uuid4().hex
+        sinks.append_match_log(log_events(result), f"{out['path']}/match_log", run_id)
         if c.scoring_log:
-            sinks.append_scoring_log(result.ranks, f"{out['path']}/scoring_log")
+            sinks.append_scoring_log(result.ranks, f"{out['path']}/scoring_log", run_id)
         if c.cleanup_match_log:
             sinks.compact_match_log(spark, f"{out['path']}/match_log")
     if folder := out.get("csv_dir") or out.get("path"):

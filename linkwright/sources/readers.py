@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkwright.operators.tables import synonym_groups
 from linkwright.plans.config import FORMATS
+from linkwright.sources.sinks import recovered
 from linkwright.streaming.events import SCHEMA
 
 
@@ -63,15 +64,10 @@ def row_count(spark: SparkSession, path: str, format: str | None = None) -> int:
     return scan(spark, path, format).count()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def pairs(spark: SparkSession, path: str | None, a_field: str, b_field: str) -> DataFrame:
     """(a_id, b_id) of a pair table; a missing file or column gives none, blank ids are skipped."""
     empty = spark.createDataFrame([], "a_id string, b_id string")
-    if not path or not _exists(spark, path):
+    if not path or not recovered(spark, path):
         return empty
     df = scan(spark, path, FORMATS.get(path.rstrip("/").rsplit(".", 1)[-1].lower(), "csv"))
     if a_field not in df.columns or b_field not in df.columns:
@@ -80,16 +76,20 @@ def pairs(spark: SparkSession, path: str | None, a_field: str, b_field: str) ->
     return out.where("a_id <> '' and b_id <> ''").distinct()
 
 
-def dictionary(spark: SparkSession, path: str | None) -> DataFrame | None:
-    """(term, group_id) of a headerless CSV file whose rows are groups of equivalent terms."""
+def dictionary(spark: SparkSession, path: str | None, most: int = 1_000_000) -> DataFrame | None:
+    """(term, group_id) of a headerless CSV file whose rows are groups of equivalent terms. Groups are merged on the driver;
+    a file of more than `most` rows is an error, not a reason to fill its memory."""
     if not path:
         return None
-    lines = [r["value"] for r in spark.read.text(path).collect()]
+    lines = [r["value"] for r in spark.read.text(path).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"{path} has more than {most} rows")
     return synonym_groups(spark, csv.reader(lines))
 
 
 def match_log(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """A match log, of one run if asked; lines that are no events are left out."""
+    recovered(spark, path)
     df = spark.read.schema(SCHEMA + ", run_id string, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     df = df.where(F.col("_bad").isNull() & F.col("type").isNotNull()).drop("_bad")
     return df.where(F.col("run_id") == run_id) if run_id else df

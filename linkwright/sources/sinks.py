@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Names, columns and conditions of the views that users of the result tables know.
 VIEWS = {
     "confirmed_matches": "SELECT * FROM relationships WHERE relationship_type = 'match'",
     "scored_matches": "SELECT * FROM relationships WHERE relationship_type = 'match' AND reason = 'top_scoring'",
@@ -59,9 +60,9 @@ def direct_rows(relationships: DataFrame, field_scores: DataFrame) -> DataFrame:
     return relationships.select("a_id", "b_id", "score", F.col("relationship_type").alias("classification")).join(wide, ["a_id", "b_id"], "left")
 
 
-def write_csv(df: DataFrame, path: str, sort: list[str], single: bool = True) -> None:
-    """A CSV folder, sorted; scores have four decimals. A single file is meant for results that people open; large ones
-    are written as sorted parts."""
+def write_csv(df: DataFrame, path: str, sort: list[str], single: bool = False) -> None:
+    """A CSV folder of sorted parts, each of which continues the one before; scores have four decimals. `single` puts
+    small results that people open into one part."""
     df = df.select(*[four(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
     df = df.orderBy(*sort)
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, emptyValue="")
@@ -79,35 +80,55 @@ def write_tables(tables: dict[str, DataFrame], database: str) -> None:
         df.write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
 
 
-def replace_atomically(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """Write to a folder beside `path`, then rename it there: a reader sees the old table or the new one."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    staged, old = f"{path}.{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
-    write(staged)
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    had = fs.exists(target)
-    if had:
-        fs.rename(target, jvm.org.apache.hadoop.fs.Path(old))
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target)
-    if had:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at path, after an exchange that a crash cut short has been finished or taken back.
+
+    A new table is complete once its folder has the name <path>.new, which is given to it by one rename. From then on
+    it is the table, whether or not the old one has been moved away yet.
+    """
+    target, fs = _path(spark, path)
+    new, _ = _path(spark, f"{path}.new")
+    old, _ = _path(spark, f"{path}.old")
+    if fs.exists(new):
+        if fs.exists(target):
+            fs.delete(old, True)
+            fs.rename(target, old)
+        fs.rename(new, target)
+    elif not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
+    fs.delete(old, True)
+    return fs.exists(target)
+
+
+def replace_table(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write to a folder beside `path` and exchange it for what is there; readers call `recovered` first, so that a crash
+    at any point leaves them the old table or the new one, never none."""
+    recovered(spark, path)
+    staged, fs = _path(spark, f"{path}.{uuid.uuid4().hex[:8]}")
+    write(staged.toString())
+    fs.rename(staged, _path(spark, f"{path}.new")[0])
+    recovered(spark, path)
 
 
 def write_pairs(pairs: DataFrame, path: str, a_field: str, b_field: str) -> None:
     """A pair table (cross-map, exclusions) as CSV, a_id before b_id, replaced as a whole."""
     out = pairs.select(F.col("a_id").alias(a_field), F.col("b_id").alias(b_field)).distinct()
-    replace_atomically(pairs.sparkSession, path, lambda p: write_csv(out, p, [a_field, b_field]))
+    replace_table(pairs.sparkSession, path, lambda p: write_csv(out, p, [a_field, b_field]))
 
 
 def append_match_log(events: DataFrame, path: str, run_id: str | None = None) -> None:
     (events.withColumn("run_id", F.lit(run_id)) if run_id else events).write.mode("append").json(path)
 
 
-def append_scoring_log(ranks: DataFrame, path: str) -> None:
+def append_scoring_log(ranks: DataFrame, path: str, run_id: str | None = None) -> None:
     """One row per query with its ranked candidates and their field scores; queries without candidates are not logged."""
     nested = ranks.groupBy("b_id").agg(F.array_sort(F.collect_list(F.struct("rank", "a_id", "score", "classification", "reason", "field_scores"))).alias("candidates"))
-    nested.write.mode("append").parquet(path)
+    nested.withColumn("run_id", F.lit(run_id).cast("string")).write.mode("append").parquet(path)
 
 
 def compact_match_log(spark: SparkSession, path: str) -> None:
@@ -116,4 +137,4 @@ def compact_match_log(spark: SparkSession, path: str) -> None:
     from linkwright.streaming.events import compacted
 
     log = compacted(match_log(spark, path))
-    replace_atomically(spark, path, lambda p: log.write.json(p))
+    replace_table(spark, path, lambda p: log.write.json(p))
