@@ -11,11 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkwright.llm.shared import components, save
+from linkwright.llm.shared import components, save, small
 
 SEED = 42
 #: Rows of an Arrow batch handled at once.
 SLICE = 512
+#: Lists of the index that are longer are split by another byte.
+LONGEST = 256
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -56,57 +58,61 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return df.mapInArrow(run, fields)
 
 
-def postings(fps: DataFrame, shared: int = 6) -> DataFrame:
-    """The inverted index (key, fp): one posting for each choice of `shared` of the 8 byte positions and the bytes there.
-
-    Two fingerprints meet in a list if and only if their tally of equal positional bytes reaches `shared`. A list has
-    at most 256 ** (8 - shared) different fingerprints, whatever the data: no hot list is possible.
-    """
-    places = list(combinations(range(8), shared))
-    masks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(sum(255 << 8 * p for p in chosen))).alias("mask")) for i, chosen in enumerate(places)])
-    each = fps.select("fp", F.explode(masks).alias("m"))
-    return each.select(F.struct(F.col("m.i").cast("byte").alias("i"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("bytes")).alias("key"), "fp")
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _roots(members: np.ndarray, bits: int) -> np.ndarray:
-    """Of sorted different fingerprints, the smallest that each is connected to by links of at most `bits` differing bits.
+def postings(fps: DataFrame, depth: int = 1, bits: int = 2) -> DataFrame:
+    """The inverted index (mask, bytes, fp) on positional bytes: a fingerprint is listed under its byte at each of the first
+    positions; at a depth above 1, under each `depth` bytes at the first depth + bits positions.
 
-    Small lists are compared as a matrix: the tally of equal positional bytes, then the differing bits of those pairs
-    that reach it. In large ones each member looks up its neighbours, whose number the bits left open bound.
+    Fingerprints that differ in at most `bits` bits have as many different bytes at most, so they share `depth` of any
+    depth + bits positional bytes and meet in a list.
     """
-    n = len(members)
-    root = np.arange(n)
-    if n <= 512:
-        least = 8 - bits
-        b = members.view(np.uint8).reshape(n, 8)
-        tally = np.zeros((n, n), dtype=np.uint8)
-        for p in range(8):
-            tally += b[:, p, None] == b[None, :, p]
-        i, j = np.nonzero(np.triu(tally >= least, 1))
-        near = np.bitwise_count(members[i] ^ members[j]) <= bits
-        pairs = [(i[near], j[near])]
-    else:
-        open_ = int(np.bitwise_or.reduce(members ^ members[0]))
-        free = [1 << k for k in range(64) if open_ >> k & 1]
-        flips = [sum(c) for k in range(1, bits + 1) for c in combinations(free, k)]
-        pairs = []
-        for f in flips:
-            other = members ^ np.uint64(f)
-            at = np.minimum(np.searchsorted(members, other), n - 1)
-            i = np.flatnonzero((members[at] == other) & (at > np.arange(n)))
-            pairs.append((i, at[i]))
-    i, j = (np.concatenate(x) for x in zip(*pairs))
-    while True:  # hook the larger root onto the smaller, then shorten the chains
+    chosen = [sum(255 << 8 * p for p in c) for c in combinations(range(depth + bits), depth)]
+    each = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in chosen])).alias("mask"))
+    return each.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"), "fp")
+
+
+def split(hot: DataFrame, depth: int, bits: int = 2) -> DataFrame:
+    """The postings of lists of `depth` bytes dealt to lists of one more: whoever is linked in such a list also shares
+    one of the bytes at the first depth + bits + 1 positions that the list does not fix."""
+    more = F.array(*[F.lit(_signed(255 << 8 * p)) for p in range(depth + bits + 1)])
+    each = hot.select("fp", "mask", F.explode(more).alias("more")).where(F.col("mask").bitwiseAND(F.col("more")) == 0)
+    each = each.select(F.col("mask").bitwiseOR(F.col("more")).alias("mask"), "fp")
+    return each.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"), "fp").distinct()
+
+
+def _shorten(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Connect i with j: hook the larger root onto the smaller, then shorten the chains."""
+    while True:
         a, b = root[i], root[j]
-        if (a == b).all():
-            return root
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root != root[root]).any():
-            root = root[root]
+        while (root != (up := root[root])).any():
+            root[:] = up
+
+
+def tallied(fps: np.ndarray, lists: np.ndarray, bits: int = 2) -> np.ndarray:
+    """Of fingerprints sorted by list, the first that each is connected to in its list by links.
+
+    For each pair of a list the equal positional bytes are tallied; pairs that reach the 8 - bits that a link
+    guarantees are kept, and verified by counting the bits in which they differ.
+    """
+    root, size = np.arange(len(fps)), np.bincount(lists, minlength=1)
+    left, at = size[lists] - 1, np.arange(len(fps)) - (np.cumsum(size) - size)[lists]
+    left -= at  # how many follow in the list
+    for ahead in range(1, int(size.max(initial=1))):
+        i = np.flatnonzero(left >= ahead)
+        apart = fps[i] ^ fps[i + ahead]
+        tally = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+        i, apart = i[tally >= 8 - bits], apart[tally >= 8 - bits]
+        i = i[np.bitwise_count(apart) <= bits]
+        _shorten(root, i, i + ahead)
+    return root
 
 
 def links(index: DataFrame, bits: int = 2) -> DataFrame:
@@ -115,40 +121,57 @@ def links(index: DataFrame, bits: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple | None = None
         for batch in batches:
-            keys = batch.column("key")
-            k1, k2 = (keys.field(x).to_numpy(zero_copy_only=False) for x in (0, 1))
-            fps = batch.column("fp").to_numpy(zero_copy_only=False)
+            rows = tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in ("mask", "bytes", "fp"))
             if rest is not None:
-                k1, k2, fps = (np.concatenate(x) for x in zip(rest, (k1, k2, fps)))
-            if not len(fps):
+                rows = tuple(np.concatenate(x) for x in zip(rest, rows))
+            mask, key, _ = rows
+            if not len(mask):
                 continue
-            starts = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
-            last = starts[-1]
-            rest = (k1[last:], k2[last:], fps[last:])
-            yield from found(fps, starts)
+            last = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])[-1]
+            rest = tuple(x[last:] for x in rows)
+            yield from found(*(x[:last] for x in rows))
         if rest is not None:
-            yield from found(rest[2], np.array([0, len(rest[2])]))
+            yield from found(*rest)
+
+    def found(mask: np.ndarray, key: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(fps):
+            lists = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
+            fps = np.ascontiguousarray(fps.astype(np.int64))
+            root = tallied(fps.view(np.uint64), lists, bits)
+            away = np.flatnonzero(root != np.arange(len(fps)))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[away]), pa.array(fps[root[away]])], ["u", "v"])
 
-    def found(fps: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, v = [], []
-        for k in np.flatnonzero(np.diff(starts) > 1):
-            members = np.unique(fps[starts[k] : starts[k + 1]].astype(np.int64).view(np.uint64))
-            if len(members) > 1:
-                root = _roots(members, bits)
-                away = root != np.arange(len(members))
-                u.append(members[away])
-                v.append(members[root[away]])
-        if u:
-            arrays = [pa.array(np.concatenate(x).view(np.int64)) for x in (u, v)]
-            yield pa.RecordBatch.from_arrays(arrays, ["u", "v"])
+    return index.repartition("mask", "bytes").sortWithinPartitions("mask", "bytes", "fp").mapInArrow(run, "u long, v long")
 
-    return index.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
+
+def near_pairs(fps: DataFrame, n: int, bits: int = 2, longest: int = LONGEST) -> DataFrame:
+    """Edges (u, v) that connect all of n different fingerprints (fp) that differ in at most `bits` bits.
+
+    A list of more than `longest` is split by one positional byte more, and so on; lists of 8 - bits bytes are as long as
+    they are, but hold 256 ** bits fingerprints at most, whatever the data. The first depth is one at which lists of
+    evenly spread fingerprints would not be split.
+    """
+    depth = 1
+    while depth < 8 - bits and n / 256**depth > longest:
+        depth += 1
+    index, edges = postings(fps, depth, bits), None
+    while True:
+        if depth < 8 - bits:
+            hot = save(index.groupBy("mask", "bytes").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > longest).select("mask", "bytes"), "long-lists")
+            if hot.head(1):
+                found = links(index.join(small(hot), ["mask", "bytes"], "left_anti"), bits)
+                edges = found if edges is None else edges.union(found)
+                index = save(split(index.join(small(hot), ["mask", "bytes"], "left_semi"), depth, bits), "split-lists")
+                depth += 1
+                continue
+        found = links(index, bits)
+        return found if edges is None else edges.union(found)
 
 
 def classes(marked: DataFrame, bits: int = 2) -> DataFrame:
     """marked (doc_id, fp) -> (fp, component_id, size): the smallest doc_id reachable from each different fingerprint."""
     found = save(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "fingerprints")
-    edges = links(postings(found.select("fp"), 8 - bits), bits)
+    edges = near_pairs(found.select("fp"), found.count(), bits)
     parts = components(edges, "simhash-edges")
     rooted = found.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -1,9 +1,11 @@
 import random
 from itertools import combinations
 
-import xxhash
-from linkwright.llm.simhash import _roots, classes, fingerprint, links, postings, simhash_dedup, simhash_groups
 import numpy as np
+import pytest
+import xxhash
+
+from linkwright.llm.simhash import classes, fingerprint, near_pairs, postings, simhash_dedup, simhash_groups, tallied
 
 
 def plain(text):
@@ -65,18 +67,40 @@ def test_chain_and_links(spark):
     assert [got[f] for _, f in rows] == [0] * 31 + [31]
 
 
-def test_large_list_equals_matrix():
-    rng = np.random.default_rng(3)
-    members = np.unique(rng.integers(0, 1 << 16, 900, dtype=np.uint64) << np.uint64(8))
-    small = _roots(members[:500], 2)
-    root = np.arange(len(members))
-    far = np.bitwise_count(members[:, None] ^ members[None, :]) <= 2
-    for _ in range(len(members)):
-        new = np.where(far, root[None, :], len(members)).min(axis=1)
+def components_of(fps):
+    """By all pairs: the smallest fingerprint (unsigned) reachable from each."""
+    far = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    root = np.arange(len(fps))
+    while True:
+        new = np.where(far, root[None, :], len(fps)).min(axis=1)
         if (new == root).all():
-            break
+            return root
         root = new
-    assert (_roots(members, 2) == root).all() and len(small) == 500
+
+
+def test_tally_of_a_long_list():
+    rng = np.random.default_rng(3)
+    members = np.unique(rng.integers(0, 1 << 16, 900, dtype=np.uint64) << np.uint64(8))
+    assert (tallied(members, np.zeros(len(members), dtype=int)) == components_of(members)).all()
+
+
+@pytest.mark.parametrize("longest", [1, 5, 10_000])
+def test_long_lists_are_split_without_loss(spark, longest):
+    """Fingerprints that share most of their bytes, so that lists are long at every depth."""
+    rng = np.random.default_rng(longest)
+    base = rng.integers(0, 1 << 62, 12, dtype=np.uint64)
+    noise = [np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 5), dtype=np.uint64), initial=np.uint64(0)) for _ in range(400)]
+    fps = np.unique(np.array([base[k % 12] ^ noise[k] for k in range(400)], dtype=np.uint64))
+    rows = [(int(x),) for x in fps.view(np.int64)]
+    edges = near_pairs(spark.createDataFrame(rows, "fp long"), 1 if longest == 1 else len(rows), longest=longest).collect()
+    at = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+    root = list(range(len(fps)))
+    for e in edges:
+        assert (int(fps[at[e["u"]]]) ^ int(fps[at[e["v"]]])).bit_count() >= 1
+        x, y = sorted((root[at[e["u"]]], root[at[e["v"]]]))
+        root = [x if r == y else r for r in root]
+    assert root == components_of(fps).tolist()
+    assert postings(spark.createDataFrame(rows, "fp long"), 2).count() == 6 * len(rows)
 
 
 def test_empty_and_nulls(spark):
