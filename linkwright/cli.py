@@ -18,20 +18,13 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("linkwright").config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
 
-def truth(c: cfg.Config, a, b):
-    """The true A record of each B record that shares its common identifier."""
-    key = lambda s, d: F.trim(F.col(f"{s}_{d.common_id_field}"))
-    left = a.select(key("a", c.a).alias("k"), "a_id").where("k <> ''").groupBy("k").agg(F.max("a_id").alias("true_a_id"))
-    return b.select(key("b", c.b).alias("k"), "b_id").where("k <> ''").join(left, "k").select("b_id", "true_a_id")
-
-
 def tune(spark: SparkSession, c: cfg.Config) -> dict:
     """Scores without what is known, judged by the common identifiers."""
     a, b = job.load_sides(spark, c)
     result = job.match(c, a, b, spark.createDataFrame([], "a_id string, b_id string"), None, readers.dictionary(spark, c.dictionary), prematching=False)
     if not (c.a.common_id_field and c.b.common_id_field):
         return {"histogram": analysis.histogram(result.relationships.fillna(0.0, ["score"]))}
-    judged = analysis.populations(result.relationships, truth(c, a, b)).persist()
+    judged = analysis.populations(result.relationships, job.truth(c, a, b)).persist()
     fields = result.field_scores.join(judged.select("b_id", "a_id", "population"), ["b_id", "a_id"])
     return {
         "histogram": analysis.histogram(judged, by="population"),

@@ -103,11 +103,49 @@ def evaluation(judged: DataFrame, reachable: DataFrame) -> DataFrame:
     return counts.withColumn("precision", F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp")))).withColumn("ceiling_recall", F.when(F.col("ceiling") > 0, F.col("tp") / F.col("ceiling")))
 
 
-def training_pairs(judged: DataFrame, texts: DataFrame, block: DataFrame) -> DataFrame:
-    """Labelled pairs (b_id, a_id, label) for tuning an encoder: 1.0 for true pairs, 0.0 for confirmed wrong ones, and for
-    other queries with a truth one other candidate of the block (the smallest id)."""
-    right = judged.where("true_a_id is not null").select("b_id", F.col("true_a_id").alias("a_id"), F.lit(1.0).alias("label"))
-    wrong = judged.where("verdict in ('auto_fp', 'review_fp')").select("b_id", "a_id", F.lit(0.0).alias("label"))
+def round_evaluation(outcomes: DataFrame, truth: DataFrame, reachable: DataFrame) -> DataFrame:
+    """One row of a tuning round's counts. truth (b_id, match_type, true_a_id): matched records have a true partner,
+    ambiguous ones cannot be told, unmatched ones have none.
+
+    False positives are split into wrong (another partner was true), ambiguous and unmatched; recall is taken against the
+    true pairs that blocking can reach (b_id) and against all.
+    """
+    each = truth.join(outcomes.select("b_id", "relationship_type", "a_id"), "b_id", "left").join(reachable.select("b_id", F.lit(True).alias("in_reach")).distinct(), "b_id", "left")
+    kind, auto, review = F.col("match_type"), F.col("relationship_type") == "match", F.col("relationship_type") == "review"
+    right, matched = (kind == "matched") & (F.col("a_id") == F.col("true_a_id")), kind == "matched"
+    unseen = ~F.coalesce(auto | review, F.lit(False))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    counts = {"auto": n(auto), "review": n(review), "total": n(matched), "ceiling": n(matched & F.col("in_reach")), "fn": n(matched & unseen), "fn_ambiguous": n((kind == "ambiguous") & unseen), "tn": n((kind == "unmatched") & unseen)}
+    for name, seen in (("auto", auto), ("review", review)):
+        counts |= {f"{name}_tp": n(seen & right), f"{name}_fp_wrong": n(seen & matched & ~right), f"{name}_fp_ambiguous": n(seen & (kind == "ambiguous")), f"{name}_fp_unmatched": n(seen & (kind == "unmatched"))}
+    over = lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
+    out = each.agg(*[c.alias(k) for k, c in counts.items()])
+    return out.withColumns({
+        "precision": over(F.col("auto_tp"), F.col("auto")), "recall_ceiling": over(F.col("auto_tp"), F.col("ceiling")),
+        "recall_total": over(F.col("auto_tp"), F.col("total")), "combined_recall": over(F.col("auto_tp") + F.col("review_tp"), F.col("total")),
+    })
+
+
+def typed_overlap(outcomes: DataFrame, truth: DataFrame, width: float = 0.02) -> DataFrame:
+    """One row, overlap: as overlap_coefficient, but ambiguous records count as matched, and of matched ones that were
+    paired only those with their true partner do; records without a score count as 0."""
+    each = outcomes.join(truth, "b_id", "left")
+    paired = F.col("relationship_type").isin("match", "review")
+    same = ((F.col("match_type") == "matched") & (~paired | (F.col("a_id") == F.col("true_a_id")))) | (F.col("match_type") == "ambiguous")
+    judged = each.select(F.coalesce("score", F.lit(0.0)).alias("score"), F.when(F.coalesce(same, F.lit(False)), "match").otherwise("nonmatch").alias("population"))
+    return overlap_coefficient(judged, width)
+
+
+def training_pairs(judged: DataFrame, ambiguous: DataFrame, block: DataFrame, middle: float = 0.87) -> DataFrame:
+    """Labelled pairs (b_id, a_id, label) for tuning an encoder, each pair once, with the highest of its labels.
+
+    1.0 for true pairs, `middle` for pairs that cannot be told apart (ambiguous: b_id, a_id), 0.0 for confirmed wrong ones,
+    and for other queries with a truth one other candidate of the block (the smallest id).
+    """
+    label = lambda df, x: df.select("b_id", "a_id", F.lit(x).alias("label"))
+    right = label(judged.where("true_a_id is not null").select("b_id", F.col("true_a_id").alias("a_id")), 1.0)
+    wrong = label(judged.where("verdict in ('auto_fp', 'review_fp')"), 0.0)
     others = judged.where("verdict not in ('auto_fp', 'review_fp') and true_a_id is not null").select("b_id", "true_a_id").join(block, "b_id").where("a_id <> true_a_id")
-    sampled = others.groupBy("b_id").agg(F.min("a_id").alias("a_id")).withColumn("label", F.lit(0.0))
-    return right.unionByName(wrong).unionByName(sampled).dropDuplicates(["b_id", "a_id"]).join(texts.select("b_id"), "b_id", "left_semi")
+    sampled = label(others.groupBy("b_id").agg(F.min("a_id").alias("a_id")), 0.0)
+    every = right.unionByName(label(ambiguous, middle)).unionByName(wrong).unionByName(sampled)
+    return every.groupBy("b_id", "a_id").agg(F.max("label").alias("label"))

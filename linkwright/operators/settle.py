@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,11 @@ def settled(df: DataFrame) -> DataFrame:
     the driver no longer refers to them, if spark.cleaner.referenceTracking.cleanCheckpoints is set, as the command line does."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, deleted when the application ends."""
+    sc = spark.sparkContext
+    base = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/scratch-{sc.applicationId}")
+    base.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(base)
+    return f"{base.toString()}/{uuid.uuid4().hex[:12]}/{name}"

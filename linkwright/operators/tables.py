@@ -45,6 +45,11 @@ def crossmap_claim(crossmap: DataFrame, pairs: DataFrame) -> DataFrame:
     return crossmap.select("a_id", "b_id").unionByName(free.select("a_id", "b_id"))
 
 
+def partners(crossmap: DataFrame, ids: DataFrame, side: str) -> DataFrame:
+    """The pairs of some records of a side: lookups by the dozen or by the million are the same join."""
+    return crossmap.join(ids.select(f"{side}_id").distinct(), f"{side}_id", "left_semi")
+
+
 def crossmap_stats(crossmap: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: pairs, a_total, b_total, a_share and b_share in percent."""
     n = crossmap.agg(F.count(F.lit(1)).alias("pairs"))
@@ -89,9 +94,10 @@ def page_pairs(crossmap: DataFrame, cursor: str | None = None, limit: int = 100)
     return rows.orderBy("a_id", "b_id").limit(limit)
 
 
-def page_unmatched(records: DataFrame, id_col: str, cursor: str | None = None, limit: int = 100) -> DataFrame:
+def page_unmatched(records: DataFrame, id_col: str, cursor: str | None = None, limit: int = 100, with_record: bool = True) -> DataFrame:
+    """Unmatched records by id, after a cursor id; with their fields or the ids alone."""
     rows = records if cursor is None else records.where(F.col(id_col) > cursor)
-    return rows.orderBy(id_col).limit(limit)
+    return (rows if with_record else rows.select(id_col)).orderBy(id_col).limit(limit)
 
 
 def page_reviews(reviews: DataFrame, cursor: str | None = None, limit: int = 100) -> DataFrame:
@@ -125,6 +131,22 @@ def browse(table: DataFrame, filters: dict[str, str] | None = None, exact: Itera
     return table.orderBy(order, *[F.col(f"`{c}`") for c in table.columns if c != by]).offset(page * size).limit(size), table.count()
 
 
+def index(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows, columns) of tables that can be browsed, in one job."""
+    spark = next(iter(tables.values())).sparkSession
+    each = [df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows"), F.lit(",".join(df.columns)).alias("columns")) for n, df in tables.items()]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return out if each else spark.createDataFrame([], "name string, rows long, columns string")
+
+
+def choices(table: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """(column, value, n): the values that can be chosen in columns with few different ones."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]))
+    return table.select(pairs.alias("p")).select("p.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- dictionary ---
 
 

@@ -247,13 +247,13 @@ def _vectors(spark, d, side):
     return fx.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias(f"{side}_id"), F.col("label").cast("string").alias(f"{side}_label"), F.col("embedding").alias(f"{side}_vector"))
 
 
-@query(f"WITH {COSINES} SELECT b_id, a_id, round(similarity, 4) AS similarity FROM c QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY round(similarity, 9) DESC, a_id) <= 10")
+@query(f"WITH {COSINES} SELECT b_id, a_id, round(greatest(0, similarity), 4) AS similarity FROM c QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY round(similarity, 9) DESC, a_id) <= 10")
 def cosine_topk(spark, d):
     q, p = _vectors(spark, d, "b"), _vectors(spark, d, "a")
     return candidates.nearest_vectors(q, p, 10, [("b_label", "a_label")], skip_self=True).select("b_id", "a_id", r4("similarity"))
 
 
-@query(f"WITH {COSINES} SELECT b_id, a_id, round(similarity, 4) AS similarity FROM c WHERE right(a_id, 1) IN ('0', '3', '7') QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY round(similarity, 9) DESC, a_id) <= 5")
+@query(f"WITH {COSINES} SELECT b_id, a_id, round(greatest(0, similarity), 4) AS similarity FROM c WHERE right(a_id, 1) IN ('0', '3', '7') QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY round(similarity, 9) DESC, a_id) <= 5")
 def cosine_topk_allowed(spark, d):
     q, p = _vectors(spark, d, "b"), _vectors(spark, d, "a")
     allowed = p.where(F.right("a_id", F.lit(1)).isin("0", "3", "7")).select("a_id")
@@ -327,8 +327,8 @@ rel AS (
 CLAIMED = f"RECURSIVE {CLAIMED}"
 
 
-def _outcomes(spark, d):
-    ranks = settled(_part_ranks(spark, d))
+def _outcomes(spark, d, ranks=None):
+    ranks = settled(_part_ranks(spark, d)) if ranks is None else ranks
     claims = ranking.claim(ranks, AUTO)
     return ranking.outcomes(ranks, claims, fx.parts(spark, d, "b"), AUTO, FLOOR)
 
@@ -360,7 +360,8 @@ def summary_view(spark, d):
 
 @query(f"WITH {CLAIMED} SELECT rel.a_id, rel.b_id, round(rel.score, 4) AS composite_score, relationship_type, f.field, round(f.value, 4) AS field_score FROM rel LEFT JOIN (SELECT a_id, b_id, unnest(['name', 'size']) AS field, unnest([name_score, size_score]) AS value FROM ranks) f ON f.a_id = rel.a_id AND f.b_id = rel.b_id")
 def relationship_detail(spark, d):
-    ranks, rel = _part_ranks(spark, d), _outcomes(spark, d)
+    ranks = settled(_part_ranks(spark, d))
+    rel = _outcomes(spark, d, ranks)
     f = ranks.select("a_id", "b_id", F.explode("field_scores").alias("f")).where("f.method <> 'numeric'")
     f = f.select("a_id", "b_id", F.col("f.field_a").alias("field"), F.col("f.score").alias("field_score"))
     return rel.join(f, ["a_id", "b_id"], "left").select("a_id", "b_id", F.round("score", 4).alias("composite_score"), "relationship_type", "field", r4("field_score"))
@@ -393,10 +394,10 @@ judged AS (
 popd AS (SELECT *, CASE WHEN verdict IN ('auto_tp', 'review_tp', 'fn') THEN 'match' ELSE 'nonmatch' END AS population FROM judged)"""
 
 
-def _judged(spark, d):
+def _judged(spark, d, ranks=None):
     a, b = fx.parts(spark, d, "a"), fx.parts(spark, d, "b")
     same = b.join(a, (F.col("a_name") == F.col("b_name")) & (F.col("a_brand") == F.col("b_brand")) & (F.col("a_type") == F.col("b_type")) & (F.col("a_id") != F.col("b_id")))
-    return analysis.populations(_outcomes(spark, d), same.groupBy("b_id").agg(F.min("a_id").alias("true_a_id")))
+    return analysis.populations(_outcomes(spark, d, ranks), same.groupBy("b_id").agg(F.min("a_id").alias("true_a_id")))
 
 
 @query(f"WITH {JUDGED} SELECT least(floor(round(s, 6) / 0.04::DOUBLE), 25)::INT AS bucket, population, count(*) AS n FROM popd GROUP BY 1, 2")

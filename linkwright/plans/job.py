@@ -149,6 +149,13 @@ def match(c: Config, a: DataFrame, b: DataFrame, crossmap: DataFrame, exclusions
     return Result(relationships, ranks, tables.crossmap_add(mapped, confirmed), a, b)
 
 
+def truth(c: Config, a: DataFrame, b: DataFrame) -> DataFrame:
+    """The true A record (b_id, true_a_id) of each B record that shares its common identifier."""
+    key = lambda s, d: F.trim(F.col(f"{s}_{d.common_id_field}"))
+    left = a.select(key("a", c.a).alias("k"), "a_id").where("k <> ''").groupBy("k").agg(F.max("a_id").alias("true_a_id"))
+    return b.select(key("b", c.b).alias("k"), "b_id").where("k <> ''").join(left, "k").select("b_id", "true_a_id")
+
+
 def run(spark: SparkSession, c: Config) -> Result:
     """Load, match, write what the configuration asks for."""
     a, b = load_sides(spark, c)

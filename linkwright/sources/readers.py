@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkwright.operators.tables import synonym_groups
 from linkwright.plans.config import FORMATS
+from linkwright.sources.sinks import _path as sinks_path
 from linkwright.sources.sinks import recovered
 from linkwright.streaming.events import SCHEMA
 
@@ -64,6 +65,14 @@ def row_count(spark: SparkSession, path: str, format: str | None = None) -> int:
     return scan(spark, path, format).count()
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Length and time of change of a file, or of a folder's files: what tells that a source is as it was."""
+    at, fs = sinks_path(spark, path)
+    total = fs.getContentSummary(at).getLength()
+    files = [f.getModificationTime() for f in fs.listStatus(at)]
+    return f"{total}:{max(files, default=0)}"
+
+
 def pairs(spark: SparkSession, path: str | None, a_field: str, b_field: str) -> DataFrame:
     """(a_id, b_id) of a pair table; a missing file or column gives none, blank ids are skipped."""
     empty = spark.createDataFrame([], "a_id string, b_id string")
