@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkwright.llm.shared import save
+from linkwright.llm.shared import save, small
 
 
 def exact_groups(
@@ -30,29 +30,24 @@ def exact_groups(
     Of rows with the same id and text exactly one stays. Input columns may have any names, as they travel in a struct.
 
     A text that makes up hot_fraction of all rows (and hot_rows at least) is spread over `salts` runs by the hash of
-    its id. At most 1 / hot_fraction texts can be that frequent, which bounds both tables broadcast here; their
-    groups are put together from sums made before the shuffle.
+    its id. At most 1 / hot_fraction texts can be that frequent, which bounds both tables that may be broadcast here; their
+    groups are put together from sums made before the shuffle. Texts are shuffled once, within their rows.
     """
     largest = keep == "largest"
     best = F.max if largest else F.min
-    base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(f"`{id_col}`").alias("id"),
-        normalise(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("t"),
-    ).withColumn("h", F.xxhash64("t"))
+    text = lambda c: normalise(F.coalesce(c, F.lit("")))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), text(F.col(f"`{text_col}`")).alias("t"))
+    base = base.withColumn("h", F.xxhash64("t"))
     most = max(hot_rows, int(docs.count() * hot_fraction))
     hot = save(base.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most).select("h"), "hot-texts")
-    whole = (
-        base.join(F.broadcast(hot), "h", "left_semi")
-        .groupBy("t")
-        .agg(best("id").alias("hot_id"), F.count(F.lit(1)).alias("hot_size"))
-        .select(F.sha2("t", 256).alias("hot_sha"), "hot_id", "hot_size")
-    )
+    whole = base.join(small(hot), "h", "left_semi").groupBy("t").agg(best("id").alias("hot_id"), F.count(F.lit(1)).alias("hot_size"))
+    whole = save(whole.select(F.sha2("t", 256).alias("hot_sha"), "hot_id", "hot_size"), "hot-groups")
     dealt = (
-        base.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "h", "left")
+        base.join(small(hot.withColumn("hot", F.lit(True))), "h", "left")
         .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(F.lit(0)))
-        .withColumn("head", F.substring(F.encode("t", "utf-8"), 1, 16))
+        .select("row", "id", "h", "salt", F.substring(F.encode("t", "utf-8"), 1, 16).alias("head"))
         .repartitionByRange("head", "h", "salt")
+        .withColumn("t", text(F.col("row").getField(text_col)))
     )
     run = Window.partitionBy("head", "h", "salt", "t")
     order = F.col("id").desc_nulls_last() if largest else F.col("id").asc_nulls_last()
@@ -65,7 +60,7 @@ def exact_groups(
         F.sha2("t", 256).alias("text_sha256"),
     )
     keep_id = F.when(F.col("hot_size").isNull(), F.col("run_id")).otherwise(F.col("hot_id"))
-    return runs.join(F.broadcast(whole), F.col("text_sha256") == F.col("hot_sha"), "left").select(
+    return runs.join(small(whole), F.col("text_sha256") == F.col("hot_sha"), "left").select(
         "row",
         keep_id.alias("keep_id"),
         F.coalesce("hot_size", "run_size").alias("group_size"),
