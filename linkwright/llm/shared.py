@@ -15,13 +15,16 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The application's own folder below spark.checkpoint.dir, deleted when the application ends.
 
-    Only where neither the setting nor a checkpoint folder exists (tests, a local session), a temporary one is set.
+    Where neither the setting nor a checkpoint folder exists, a local session gets a temporary one; on a cluster, whose
+    executors would not share it, that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         option = sc._jsc.sc().getCheckpointDir()
         if option.isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkwright-"))
             option = sc._jsc.sc().getCheckpointDir()
         root = option.get()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from linkwright.llm.shared import BROADCAST_ROWS, new_path, save, small
 
 #: Fixed values of the format.
-MAGIC = "WARC/1.1\r\n"
+MAGIC, VERSIONS = "WARC/1.", (b"0\r\n", b"1\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -63,15 +63,12 @@ def write_warc(
         .where(F.col("page_id").eqNullSafe(F.col("first"))).groupBy("digest").agg(F.min("url").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1"),
         "repeated-ids",
     )
-    if again.head(1):
-        marked = _one_of_repeated(marked)
-    else:
-        marked = marked.withColumn("first_row", F.lit(True))
+    marked = _one_of_repeated(marked, again) if again.head(1) else marked.withColumn("first_row", F.lit(True))
     revisit = F.col("d").isNotNull() & (F.col("size") >= least_bytes) & ~(F.col("page_id").eqNullSafe(F.col("first")) & F.col("first_row"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     body = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
     head = F.concat(
-        F.lit(MAGIC + "WARC-Type: "),
+        F.lit(MAGIC + "1\r\nWARC-Type: "),
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "),
         record_id(F.col("page_id")),
@@ -88,19 +85,25 @@ def write_warc(
     marked.select(F.concat(head, body, F.lit("\r\n\r")).alias("value")).write.option("lineSep", "\n").text(path)
 
 
-def _one_of_repeated(marked: DataFrame) -> DataFrame:
-    """first_row: true for one of the rows that share digest and the smallest id. Only such rows are numbered."""
-    one = Window.partitionBy("digest", "page_id", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.lit(1024)) + 1))
-    return marked.withColumn("first_row", F.row_number().over(one.orderBy("url")) == 1)
+def _one_of_repeated(marked: DataFrame, again: DataFrame) -> DataFrame:
+    """first_row: true but for the surplus rows of a payload's smallest id. Only these rows are gathered: they are counted by
+    url before the shuffle, and of their equal payloads one goes on."""
+    joined = marked.join(small(again.select(F.col("digest").alias("ad"), "u")), F.col("digest") == F.col("ad"), "left")
+    twice = F.col("ad").isNotNull() & F.col("page_id").eqNullSafe(F.col("first"))
+    keys = ["page_id", "url", "size", "digest", "d", "first"]
+    counted = joined.where(twice).groupBy(*keys, "u").agg(F.count(F.lit(1)).alias("n"), F.first("html").alias("html"))
+    first = (F.col("k") == 1) & (F.col("url") == F.col("u"))
+    rows = counted.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(*keys, F.when(first, F.col("html")).otherwise(F.lit("")).alias("html"), first.alias("first_row"))
+    return joined.where(~twice).select(*keys, "html", F.lit(True).alias("first_row")).unionByName(rows)
 
 
 def _parse(block: bytes) -> tuple | None:
     """Of what follows the magic: (bytes of the header, content length, fields), or None if it is no record's header."""
     end = block.find(b"\r\n\r\n")
-    if end < 0:
+    if end < 0 or block[:3] not in VERSIONS:
         return None
     fields = {}
-    for line in block[:end].split(b"\r\n"):
+    for line in block[3:end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -189,9 +192,11 @@ def read_warc(spark: SparkSession, path: str, with_content: bool = True) -> Data
 
     A task knows only its own split; chains of successor offsets from each file's start tell where the first true
     record of each split lies, so a magic inside a payload starts no record and the pieces it cuts are put together
-    again. A response's payload is measured; for a revisit, which holds none, the HTTP header and the record state
+    again. Versions 1.0 and 1.1 are read; archives whose names end in .gz are decompressed, record by record or as a whole, in
+    one task each. A response's payload is measured; for a revisit, which holds none, the HTTP header and the record state
     the length and digest of the payload it refers to. verified: the stated length and digest are right (null for
-    revisits). Empty archives give no rows; what follows a break in a file's chain is not reachable.
+    revisits). Empty archives give no rows, an archive without any reachable record is an error; what follows a break in a
+    file's chain is not reachable.
     """
     found = save(candidates(spark, path), "candidates")
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -199,6 +204,8 @@ def read_warc(spark: SparkSession, path: str, with_content: bool = True) -> Data
     bases = save(splits.select("file", "split", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "splits")
     chain = save(found.drop("size").join(small(bases), ["file", "split"]).select("file", "split", "base", "place", "size", (F.col("base") + F.col("place")).alias("at"), (F.col("base") + F.col("exit")).alias("to")), "chain")
     entries = save(chain.join(reachable(chain), ["file", "at"]).select("file", "split", "place", (F.col("to") > F.col("base") + F.col("size")).alias("crosses")), "entries")
+    if (bad := bases.join(entries.select("file").distinct(), "file", "left_anti").select("file").head()) is not None:
+        raise ValueError(f"{bad['file']} has no WARC record")
     known = save(bases.join(entries, ["file", "split"], "left").select("file", "split", "base", F.col("place").alias("entry")), "split-entries")
     segments = _segments(spark, path)
     if known.count() <= BROADCAST_ROWS:
