@@ -24,7 +24,6 @@ CONFIG = {
     "blocking": {"enabled": True, "fields": [{"field_a": "nation", "field_b": "nation"}]},
     "match_fields": [{"method": "exact", "field_a": "nation", "field_b": "nation", "weight": 0.7}, {"method": "exact", "field_a": "name", "field_b": "name", "weight": 0.3}],
     "thresholds": {"auto_match": 0.85, "review_floor": 0.6},
-    "output": {"path": "out"},
 }
 FIELDS = ("id", "name", "nation", "tax")
 _MADE: dict[tuple[str, str, str], str] = {}
@@ -39,10 +38,15 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _new(spark: SparkSession, path: str | None = None) -> LiveSession:
+    path = path or scratch(spark, "live")
+    return LiveSession(spark, cfg.from_dict(CONFIG | {"output": {"path": path}}), path)
+
+
 def _session(spark: SparkSession, d: str) -> LiveSession:
     """A session that has taken all suppliers and customers in one micro-batch; made once for an application and folder."""
     key = (spark.sparkContext.applicationId, d, "upserts")
-    s = LiveSession(spark, cfg.from_dict(CONFIG), _MADE.get(key) or scratch(spark, "live"))
+    s = _new(spark, _MADE.get(key))
     if key not in _MADE:
         s.process(_events(spark, d).withColumns({"a_id": F.lit(None).cast("string"), "b_id": F.lit(None).cast("string")}), 0)
         _MADE[key] = s.path
@@ -95,7 +99,7 @@ def _manual(spark: SparkSession, d: str) -> LiveSession:
     """The session after confirms, breaks, exclusions and removals of suppliers by the last digit of their number."""
     key = (spark.sparkContext.applicationId, d, "manual")
     base = _session(spark, d)
-    s = LiveSession(spark, base.config, _MADE.get(key) or scratch(spark, "live"))
+    s = _new(spark, _MADE.get(key))
     if key not in _MADE:
         append_match_log(base.log(), f"{s.path}/log")
         pairs = sorted((r["a_id"], r["b_id"]) for r in base.crossmap().collect())
@@ -140,7 +144,7 @@ def live_stream(spark, d):
     """The upserts as a stream of files, with a restart that finds nothing new."""
     folder = scratch(spark, "stream")
     _events(spark, d).repartition(1).write.json(f"{folder}/in")
-    s = LiveSession(spark, cfg.from_dict(CONFIG), f"{folder}/state")
+    s = _new(spark, f"{folder}/state")
     for _ in range(2):
         s.start(spark.readStream.schema(ev.SCHEMA).json(f"{folder}/in"), f"{folder}/checkpoint", once=True).awaitTermination()
     return s.crossmap()
@@ -149,7 +153,7 @@ def live_stream(spark, d):
 @query(PAIRS)
 def live_initial_pass(spark, d):
     """What is found in a log of records that were only loaded."""
-    s = LiveSession(spark, cfg.from_dict(CONFIG), scratch(spark, "live"))
+    s = _new(spark)
     append_match_log(_events(spark, d), f"{s.path}/log")
     s.initial_pass()
     return s.crossmap()
@@ -159,7 +163,7 @@ def live_initial_pass(spark, d):
 def live_compacted(spark, d):
     """A log that was compacted folds to the same pairs."""
     base = _session(spark, d)
-    s = LiveSession(spark, base.config, scratch(spark, "live"))
+    s = _new(spark)
     append_match_log(base.log(), f"{s.path}/log")
     s.compact()
     return s.crossmap()

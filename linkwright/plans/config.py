@@ -66,6 +66,7 @@ class Config:
     scoring_log: bool = False
     cleanup_match_log: bool = False
     encoder: dict[str, Any] = field(default_factory=dict)
+    encoder_timeout: float = 60.0
     limit: int | None = None
     hooks: str | None = None
 
@@ -150,6 +151,7 @@ def from_dict(raw: dict) -> Config:
         scoring_log=bool(_get(raw, "scoring_log.enabled", False)),
         cleanup_match_log=bool(_get(raw, "output.cleanup_match_log", False)),
         encoder=raw.get("embeddings") or {},
+        encoder_timeout=float(_get(raw, "performance.encoder_call_timeout_ms", 60_000)) / 1000,
         limit=_get(raw, "batch.limit"),
         hooks=_get(raw, "hooks.command"),
     )

@@ -36,7 +36,7 @@ def _encoder_column(c: Config, text):
     if c.encoder.get("remote_encoder_cmd"):
         command = c.encoder["remote_encoder_cmd"]
         command = command if isinstance(command, list) else command.split()
-        return encoded(text, lambda: Remote(command).encode)
+        return encoded(text, lambda: Remote(command, timeout=c.encoder_timeout).encode)
     model = c.encoder.get("model") or "hashed"
     if model == "hashed":
         return encoded(text)

@@ -1,3 +1,5 @@
+import sys
+import time
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from linkwright.functions import fuzzy as fz
 from linkwright.functions import scalar
 from linkwright.functions.acronyms import acronyms, synonym_score
-from linkwright.functions.encoder import Remote, hashed_ngrams
+from linkwright.functions.encoder import EncoderRefusal, Remote, hashed_ngrams
 
 
 def one(spark, column):
@@ -88,25 +90,55 @@ def test_tokens_and_joined(spark):
 
 
 STUB = r"""
-import json, struct, sys
+import json, struct, sys, time
+out = sys.stdout.buffer
+def say(x, trailer=b""):
+    out.write(json.dumps(x).encode() + b"\n" + trailer); out.flush()
+if "mute" in sys.argv: time.sleep(60)
+say({"type": "handshake", "protocol_version": 2 if "new" in sys.argv else 1, "vector_dim": 2, "model_id": "stub"})
 for line in sys.stdin:
     t = json.loads(line)["texts"]
-    bad = {str(k): "empty" for k, x in enumerate(t) if not x}
-    sys.stdout.buffer.write((json.dumps({"dim": 2, "count": len(t), "errors": bad}) + "\n").encode())
-    sys.stdout.buffer.write(b"".join(struct.pack("<2f", len(x), 1) for x in t)); sys.stdout.flush()
+    if "refuse" in t: say({"type": "encode_response", "error": "over quota"}); continue
+    if "hang" in t: time.sleep(60)
+    good = [x for x in t if x]
+    data = b"".join(struct.pack("<2f", len(x), 1) for x in good)
+    say({"type": "encode_response", "results": [{"ok": True} if x else {"error": "empty"} for x in t], "vector_count": len(good), "vector_dim": 2}, struct.pack("<I", len(data)) + data if good else b"")
     if "die" in t: break
 """
 
 
 def test_remote_encoder():
-    import sys
-
-    r = Remote([sys.executable, "-c", STUB])
-    assert r.encode(["abc", ""]) == [[3.0, 1.0], None]
+    r = Remote([sys.executable, "-c", STUB], timeout=5)
+    assert r.encode(["abc", "", "x"]) == [[3.0, 1.0], None, [1.0, 1.0]] and r.encode([""]) == [None]
     assert r.encode(["die"]) == [[3.0, 1.0]]
-    assert r.encode(["ab"]) == [[2.0, 1.0]]
+    assert r.encode(["ab"]) == [[2.0, 1.0]] and (r.dim, r.model) == (2, "stub")
+    with pytest.raises(EncoderRefusal, match="quota"):
+        r.encode(["refuse"])
     r.close()
 
 
+@pytest.mark.parametrize("flag, texts, error", [("mute", ["a"], TimeoutError), ("new", ["a"], ValueError), ("", ["hang"], TimeoutError)])
+def test_remote_encoder_gives_up(flag, texts, error):
+    began = time.monotonic()
+    r = Remote([sys.executable, "-c", STUB, flag], retries=1, timeout=0.5, greeting=2)
+    with pytest.raises(error):
+        r.encode(texts)
+    assert time.monotonic() - began < 20 and r.process is None
+
+
+def fnv(data):
+    h = 0xCBF29CE484222325
+    for b in data:
+        h = (h ^ b) * 0x100000001B3 % (1 << 64)
+    return f"{h:016x}"
+
+
+def test_hashes(spark):
+    for t in ("", "a", "Müller & Söhne", "x" * 300):
+        assert one(spark, scalar.fnv1a(F.encode(F.lit(t), "utf-8"))) == fnv(t.encode())
+        assert one(spark, scalar.fnv1a_8(F.lit(t))) == fnv(t.encode())[8:]
+    assert one(spark, scalar.text_hash(F.lit(" ab "), F.lit(None).cast("string"))) == fnv(b"ab\xff\xff") != one(spark, scalar.text_hash(F.lit("a"), F.lit("b")))
+
+
 def test_hashed_ngrams():
     assert hashed_ngrams("") == [0.0] * 64 and hashed_ngrams("Foo bar") == hashed_ngrams(" foo  BAR ")

@@ -2,21 +2,23 @@ import csv
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from linkwright import cli
 from linkwright.cli import tune
+from linkwright.plans import build, cache, job
 from linkwright.plans import config as cfg
-from linkwright.plans import job
 from linkwright.sources import readers, sinks
 
 A = [
-    ("ENT-1", "Harris, Watkins and Goodwin BV", "NL", "LEI1", "1 Canal St"),
+    ("ENT-1", "Quillfeather, Ostrom and Velde BV", "NL", "LEI1", "1 Canal St"),
     ("ENT-2", "Acme Corporation", "US", "LEI2", "5 Main Rd"),
     ("ENT-3", "Global Trade Partners", "US", "", "9 Harbour Way"),
     ("ENT-4", "Northern Lights Energy", "NO", "LEI4", ""),
     ("ENT-5", "Acme Holdings", "US", "", "7 Main Rd"),
 ]
 B = [
-    ("CP-1", "HWG", "NL", "", ""),
+    ("CP-1", "QOV", "NL", "", ""),
     ("CP-2", "ACME Corp.", "us", "LEI2", "5 Main Road"),
     ("CP-3", "Global Trade Partners", "US", "", "9 Harbour Way"),
     ("CP-4", "Something Else", "DE", "", ""),
@@ -76,6 +78,75 @@ def test_run(spark, base):
     assert spark.read.parquet(f"{base}/parquet/field_scores.parquet").columns == ["a_id", "b_id", "field_a", "field_b", "method", "score", "weight"]
 
 
+def test_export_makes_the_outputs_again(spark, base):
+    c = cfg.from_dict(raw(base))
+    job.run(spark, c)
+    read = lambda name: sorted(map(tuple, spark.read.csv(f"{base}/out/{name}.csv", header=True).collect()), key=str)
+    before = {n: read(n) for n in ("relationships", "unmatched", "candidates")}
+    crossmap = sorted(map(tuple, spark.read.csv(f"{base}/crossmap", header=True).collect()))
+    n = readers.match_log(spark, f"{base}/out/match_log").count()
+    for name in before:
+        spark.range(1).write.mode("overwrite").csv(f"{base}/out/{name}.csv", header=True)
+    made = build.export(spark, c)
+    assert {name: read(name) for name in before} == before
+    assert readers.match_log(spark, f"{base}/out/match_log").count() == n and sorted(map(tuple, spark.read.csv(f"{base}/crossmap", header=True).collect())) == crossmap
+    assert {x["relationship_type"] for x in made.relationships.collect()} <= {"match", "review", "candidate"}
+    job.run(spark, c)  # a second run is a run of its own: all B records are known from the cross-map or scored again
+    assert build.export(spark, c).relationships.where("reason = 'crossmap'").count() == len(crossmap)
+
+
+def test_vectors_are_encoded_once(spark, base):
+    c = cfg.from_dict(raw(base, embeddings={"model": "hashed", "cache_dir": f"{base}/vectors"}))
+    r = job.run(spark, c)
+    a, b = r.a, r.b
+    plain = job.match(cfg.from_dict(raw(base)), a, b, spark.createDataFrame([], "a_id string, b_id string"))
+    cached = job.match(c, a, b, spark.createDataFrame([], "a_id string, b_id string"))
+    rows = lambda x: sorted((y["b_id"], y["a_id"] or "", y["score"] or 0) for y in x.relationships.collect())
+    assert rows(plain) == rows(cached)
+    names = a.select(F.trim("a_legal_name").alias("t"))
+    assert cache.missing(names, F.col("t"), f"{base}/vectors", "hashed").count() == 0
+    more = names.union(spark.createDataFrame([("New Name",), (" New Name ",)], "t string"))
+    assert [x["text"] for x in cache.missing(more, F.trim("t"), f"{base}/vectors", "hashed").collect()] == ["New Name"]
+    assert cache.status(spark, f"{base}/vectors").first()["dim"] == 64
+    cache.keep(spark, f"{base}/vectors", "hashed", spark.createDataFrame([], "hash string"))
+    assert cache.stored(spark, f"{base}/vectors", "hashed").count() == 0 and cache.clear(spark, f"{base}/vectors")
+
+
+def test_an_exchange_that_a_crash_cuts_short(spark, tmp_path):
+    """At each point between two renames a reader finds the old table or the new one."""
+    path = str(tmp_path / "t")
+    count = lambda: spark.read.parquet(path).count() if sinks.recovered(spark, path) else None
+    assert count() is None
+    sinks.replace_table(spark, path, lambda p: spark.range(3).write.parquet(p))
+    spark.range(5).write.parquet(f"{path}.new")  # complete, not yet in place
+    assert count() == 5
+    (tmp_path / "t").rename(tmp_path / "t.old")  # moved away, the new one not yet moved in
+    assert count() == 5
+    spark.range(7).write.parquet(f"{path}.new")
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert count() == 7 and not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+    spark.range(9).write.parquet(f"{path}.abcd")  # not complete: it never counts
+    assert count() == 7
+
+
+def test_command_line(spark, base, capsys):
+    import yaml
+
+    c = raw(base, embeddings={"model": "hashed", "cache_dir": f"{base}/vectors"}, live={"crossmap_flush_secs": 1})
+    with open(f"{base}/c.yaml", "w") as f:
+        yaml.safe_dump(c, f)
+    with open(f"{base}/e.yaml", "w") as f:
+        yaml.safe_dump({"id_field": "entity_id", "dataset": {"path": f"{base}/a.csv"}, "match_fields": [{"method": "fuzzy", "field": "legal_name", "weight": 1.0}], "blocking": {"fields": [{"field": "country"}]}, "thresholds": {"review_floor": 0.3}}, f)
+    assert cli.main(["validate", f"{base}/c.yaml"]) == 0 and cli.main(["validate", f"{base}/none.yaml"]) == 1
+    for args in (["run"], ["export"], ["crossmap", "stats"], ["cache", "build"], ["cache", "clear"]):
+        assert cli.main([*args, f"{base}/c.yaml"]) == 0
+    assert cli.main(["enroll", f"{base}/e.yaml", "--out", f"{base}/edges"]) == 0 and spark.read.parquet(f"{base}/edges").count() >= 1
+    (tmp := __import__("pathlib").Path(base) / "events").mkdir()
+    (tmp / "1.json").write_text(json.dumps({"seq": 0, "type": "upsert_record", "side": "a", "id": "1", "record": {"entity_id": "1", "legal_name": "x", "country": "us"}}))
+    assert cli.main(["serve", f"{base}/c.yaml", "--events", str(tmp), "--state", f"{base}/state", "--checkpoint", f"{base}/cp", "--once"]) == 0
+    assert readers.match_log(spark, f"{base}/state/log").where("type = 'upsert_record'").count() == 1
+
+
 def test_exclusions_prefilter_and_modes(spark, base):
     with open(f"{base}/ex.csv", "w") as f:
         f.write("entity_id,counterparty_id\nENT-3,CP-3\nCP-5,ENT-5\n")

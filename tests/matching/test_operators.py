@@ -53,6 +53,69 @@ def test_claim_in_rounds_is_serial(spark, seed):
     assert len({a for _, a in pairs}) == len({b for b, _ in pairs}) == len(pairs) and not any("b05" == b or "a03" == a for b, a in pairs)
 
 
+def test_a_long_chain_of_displacements(spark):
+    """Each query wants the candidate that the one before it takes, then the next."""
+    n = 40
+    rows_ = [(f"b{k:03}", f"a{k + j:03}", 0.99 - 0.01 * j) for k in range(n) for j in (-1, 0) if k + j >= 0]
+    rows_ = [(b, a, s) for b, a, s in rows_]
+    df = spark.createDataFrame([(b, a, 0.95 if int(a[1:]) < int(b[1:]) else 0.9, 1, "top_scoring") for b, a, _ in rows_], "b_id string, a_id string, score double, rank int, reason string")
+    taken, want = set(), {}
+    for k in range(n):
+        for a in (k - 1, k):
+            if a >= 0 and a not in taken:
+                taken.add(a)
+                want[f"b{k:03}"] = f"a{a:03}"
+                break
+    assert rows(_rounds(df), "b_id", "a_id") == sorted(want.items()) == rows(ranking.claim(df, 0.85), "b_id", "a_id")
+
+
+def test_claims_beyond_rank_255(spark):
+    """The 257th candidate is the next by score, though all beyond the 255th show the same rank."""
+    scores = [("b2", f"a{(k * 37) % 300:03}", 0.99 - k / 10_000) for k in range(300)]
+    first = [(f"b1{k:03}", a, 0.99) for k, (_, a, _) in enumerate(scores[:256])]
+    r = ranking.ranked(spark.createDataFrame(scores + first, "b_id string, a_id string, score double"), 0.85, 0.6)
+    assert r.agg(F.max("rank")).first()[0] == 255
+    for small in (200_000, 0):
+        got = dict(rows(ranking.claim(r, 0.85, small=small), "b_id", "a_id"))
+        assert got["b2"] == scores[256][1] and len(got) == 257
+
+
+def test_nearest_in_tiles(spark):
+    rng = random.Random(4)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    q = [(f"q{k:02}", vec() if k else None, ["x", "y", ""][k % 3]) for k in range(30)]
+    p = [(f"p{k:02}", vec(), ["x", "y", "z", ""][k % 4]) for k in range(50)]
+    q[4] = ("p04", p[4][1], "x")
+
+    def cos(u, v):
+        if u is None:
+            return 0.0
+        return sum(x * y for x, y in zip(u, v)) / sum(x * x for x in u) ** 0.5 / sum(x * x for x in v) ** 0.5
+
+    def want(k, allowed=None):
+        out = []
+        for b, u, block in q:
+            near = sorted((-round(cos(u, v), 9), a) for a, v, other in p if (not block or block == other) and a != b and (allowed is None or a in allowed))
+            out += [(b, a) for _, a in (near[:k] if k else near)]
+        return sorted(out)
+
+    left, right = spark.createDataFrame(q, "b_id string, b_vector array<double>, b_k string"), spark.createDataFrame(p, "a_id string, a_vector array<double>, a_k string")
+    for k, tile, slice_ in ((3, 4, 5), (3, 4096, 65_536), (0, 7, 3)):
+        got = candidates.nearest_vectors(left, right, k, [("b_k", "a_k")], skip_self=True, tile=tile, slice_=slice_)
+        assert rows(got, "b_id", "a_id") == want(k)
+    some = spark.createDataFrame([(f"p{k:02}",) for k in range(0, 50, 3)] * 2, "a_id string")
+    assert rows(candidates.nearest_vectors(left, right, 2, [("b_k", "a_k")], skip_self=True, allowed=some), "b_id", "a_id") == want(2, {f"p{k:02}" for k in range(0, 50, 3)})
+
+
+def test_bm25_by_block(spark):
+    b = spark.createDataFrame([("1", "us", "red bolt"), ("2", "", "red bolt"), ("3", "de", "gear")], "b_id string, b_k string, b_text string")
+    a = spark.createDataFrame([("p", "US", "red bolt red"), ("q", "de", "red gear"), ("r", "", "bolt")], "a_id string, a_k string, a_text string")
+    assert rows(candidates.bm25_raw(b, a, [("b_k", "a_k")]), "b_id", "a_id") == [("1", "p"), ("2", "p"), ("2", "q"), ("2", "r"), ("3", "q")]
+    assert rows(candidates.with_block(b, a, [("b_k", "a_k")]), "b_id") == [("1",), ("2",), ("3",)]
+    all_ = {(r["b_id"], r["a_id"]): r["raw"] for r in candidates.bm25_raw(b, a).collect()}
+    assert all(abs(all_[r["b_id"], r["a_id"]] - r["raw"]) < 1e-12 for r in candidates.bm25_raw(b, a, [("b_k", "a_k")]).collect())
+
+
 def test_gap_check_and_walk(spark):
     s = spark.createDataFrame([("1", "p", 0.90), ("1", "q", 0.87), ("2", "p", 0.95), ("2", "q", 0.7), ("3", "p", 0.9), ("4", "z", 0.2)], "b_id string, a_id string, score double")
     r = ranking.ranked(s, 0.85, 0.6, 0.1, 2).persist()
