@@ -25,10 +25,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and checkpointed: later plans start at its files and survive lost executors. Checkpoints go when
-    the driver no longer refers to them, if spark.cleaner.referenceTracking.cleanCheckpoints is set, as the command line does."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once and kept as a table in the scratch folder: later plans start at its files, know their true size, and
+    survive lost executors. (A checkpoint would carry estimates of sizes on, which multiply from join to join.)"""
+    path = scratch(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
