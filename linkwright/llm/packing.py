@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from linkwright.llm.shared import save, small
 from linkwright.llm.tokens import encoder
+from linkwright.llm.training import release
 
 SLICE_ROWS = 256
 #: Fixed point of a source's quantum: fractions of a token a round.
@@ -26,6 +27,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "d
     shipped = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         enc, part, before = encoder(shipped.value), TaskContext.get().partitionId(), {}
         for batch in batches:
             for rows in by_size(batch, "text"):
@@ -47,7 +49,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "d
     return df.mapInArrow(run, f"doc_id {kind}, source string, part int, before long, n long, ids binary")
 
 
-def by_size(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def by_size(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose column holds at most so many bytes, or one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

@@ -32,7 +32,7 @@ LOWER[0x41:0x5B] += 32
 LATIN, SIGNS = 0xC3, (0x97, 0xB7)
 
 #: Bytes of text handled at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def _by_word(d: dict) -> bool:
@@ -52,7 +52,7 @@ class Encoder:
     model. The table of words is emptied when it reaches `most` entries, so memory is bounded.
     """
 
-    def __init__(self, definition: str, most: int = 1_000_000):
+    def __init__(self, definition: str, most: int = 800_000):
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -26,10 +27,16 @@ def only(model):
 
 
 def release() -> None:
-    """Forget the tables of the model that this Python worker used, for stages that need none."""
+    """Forget the tables of the model that this Python worker used, for stages that need none, and give free memory back to
+    the system, where the C library can."""
     for other in _CURRENT:
         other.forget()
     _CURRENT.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def fold(doc_id: Column, folds: int) -> Column:
