@@ -33,7 +33,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
-    hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :])], dtype="<u8")
+    return majority(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :])], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096].view(np.uint8).reshape(-1, 8)

@@ -108,3 +108,25 @@ def test_empty_and_nulls(spark):
     assert simhash_groups(spark.createDataFrame([], kind)).count() == 0
     got = simhash_groups(spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c")], kind)).collect()
     assert [r["component_id"] for r in got] == [4, 4, 4]
+
+
+@pytest.mark.parametrize("longest", [1, 30, 10_000])
+def test_four_bits(spark, longest):
+    rng = np.random.default_rng(longest)
+    base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+    noise = [np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(0, 8), dtype=np.uint64), initial=np.uint64(0)) for _ in range(300)]
+    fps = np.unique(np.array([base[k % 40] ^ noise[k] for k in range(300)], dtype=np.uint64)).view(np.int64).tolist()
+    unsigned = {x: x % (1 << 64) for x in fps}
+    edges = near_pairs(spark.createDataFrame([(x,) for x in fps], "fp long"), len(fps), bits=4, longest=longest).collect()
+    got, want = {x: x for x in fps}, {x: x for x in fps}
+
+    def join(root, a, b):
+        x, y = sorted((root[a], root[b]))
+        root.update({i: x for i, r in root.items() if r == y})
+
+    for e in edges:
+        join(got, e["u"], e["v"])
+    for a, b in combinations(fps, 2):
+        if (unsigned[a] ^ unsigned[b]).bit_count() <= 4:
+            join(want, a, b)
+    assert got == want and 20 < len(set(want.values())) < len(fps) - 20
