@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +51,31 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def _joined(edges: pa.Table) -> pa.Table:
+    """Edges (u, v) of longs -> (node, root), in memory."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for u, v in zip(edges["u"].to_pylist(), edges["v"].to_pylist()):
+        a, b = find(u), find(v)
+        up[max(a, b)] = min(a, b)
+    return pa.table({"node": pa.array(list(up), pa.int64()), "root": pa.array([find(x) for x in up], pa.int64())})
+
+
+def components(edges: DataFrame, name: str = "components", few: int = 0) -> DataFrame:
     """Connected components of edges (u, v): one row (node, root) per node, root being the smallest node reachable.
 
     Alternates the large-star and small-star steps, which need a logarithmic number of rounds. Each step is a
     pre-aggregated minimum and a join in which one side is unique per key, so that skewed centres can be split.
-    Null ends and loops are dropped.
+    Null ends and loops are dropped. Up to `few` edges, of longs, are joined on the driver instead, without any shuffle.
     """
     e = save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), name)
+    if few and e.count() <= few:
+        return e.sparkSession.createDataFrame(_joined(e.toArrow()), "node long, root long")
     before = None
     while True:
         sign = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

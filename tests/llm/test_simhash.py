@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from linkwright.llm import shared
 from linkwright.llm.simhash import classes, fingerprint, near_pairs, postings, simhash_dedup, simhash_groups, tallied
 
 
@@ -130,3 +131,15 @@ def test_four_bits(spark, longest):
         if (unsigned[a] ^ unsigned[b]).bit_count() <= 4:
             join(want, a, b)
     assert got == want and 20 < len(set(want.values())) < len(fps) - 20
+
+
+def test_few_edges_are_joined_at_once(spark, monkeypatch):
+    rng, saved, save = random.Random(4), [], shared.save
+    rows = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(70)] + [(None, 3), (4, None), (7, 7)] + [(k, k + 1) for k in range(1000, 1100)]
+    edges = spark.createDataFrame(rows, "u long, v long")
+    want = sorted(map(tuple, shared.components(edges).collect()))
+    monkeypatch.setattr(shared, "save", lambda df, name: saved.append(name) or save(df, name))
+    assert sorted(map(tuple, shared.components(edges, few=1000).collect())) == want
+    assert len(saved) == 1
+    assert sorted(map(tuple, shared.components(edges, few=100).collect())) == want
+    assert shared.components(edges.limit(0), few=1000).count() == 0
