@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from linkwright.functions.acronyms import synonym_score
 from linkwright.functions.fuzzy import fuzzy
-from linkwright.functions.scalar import clamp, exact, numeric
+from linkwright.functions.scalar import clamp, exact, key, numeric
+from linkwright.operators.settle import settled
 
 
 @dataclass(frozen=True)
@@ -61,9 +62,43 @@ def composite(fields: Sequence[MatchField], scores: Sequence[Column]) -> Column:
     return clamp(F.when(F.isnan(whole), F.lit(0.0)).otherwise(whole))
 
 
-def scored(pairs: DataFrame, fields: Sequence[MatchField]) -> DataFrame:
+#: Values of two fields whose pairs, if there are so few, are scored once, as a table that is small enough to be broadcast.
+FEW_PAIRS = 200_000
+
+
+def fuzzy_tables(a: DataFrame, b: DataFrame, fields: Sequence[MatchField], most: int = FEW_PAIRS, prefix: str = "") -> dict[MatchField, DataFrame]:
+    """(x, y, value) of all different values of a fuzzy field's two sides (columns <prefix>a_<field>, <prefix>b_<field>), for
+    those fields that have at most `most` pairs of them: what each batch would score anew is scored once."""
+    out = {}
+    for f in fields:
+        if f.method == "fuzzy":
+            xs, ys = (df.select(key(F.col(f"{prefix}{s}_{n}")).alias(c)).distinct() for df, s, n, c in ((a, "a", f.field_a, "x"), (b, "b", f.field_b, "y")))
+            n, m = (df.limit(most + 1).count() for df in (xs, ys))
+            if n * m <= most:
+                out[f] = settled(xs.crossJoin(ys).repartition(xs.sparkSession.sparkContext.defaultParallelism).withColumn("value", fuzzy(f.scorer, F.col("x"), F.col("y"))))
+    return out
+
+
+def with_scores(pairs: DataFrame, fields: Sequence[MatchField], tables: dict[MatchField, DataFrame] | None = None) -> DataFrame:
+    """pairs with the fields' scores as _score_0, _score_1, ... and the composite score. Scores of fuzzy fields that have a
+    table of them are looked up."""
+    names, scores = [f"_score_{k}" for k in range(len(fields))], {}
+    for n, f in zip(names, fields):
+        if tables and f in tables:
+            t = tables[f].select(F.col("x").alias(f"{n}_x"), F.col("y").alias(f"{n}_y"), F.col("value").alias(f"{n}_v"))
+            pairs = pairs.join(F.broadcast(t), (key(F.col(f"a_{f.field_a}")) == F.col(f"{n}_x")) & (key(F.col(f"b_{f.field_b}")) == F.col(f"{n}_y")), "left").drop(f"{n}_x", f"{n}_y")
+            scores[n] = F.col(f"{n}_v")
+        else:
+            scores[n] = field_score(f)
+    return pairs.withColumns(scores).drop(*[f"{n}_v" for n in names]).withColumn("score", composite(fields, [F.col(n) for n in names]))
+
+
+def detail(fields: Sequence[MatchField]) -> Column:
+    """field_scores, an array of (field_a, field_b, method, score, weight), from the columns of with_scores."""
+    return F.array(*[F.struct(F.lit(f.names[0]).alias("field_a"), F.lit(f.names[1]).alias("field_b"), F.lit(f.method).alias("method"), F.col(f"_score_{k}").alias("score"), F.lit(float(f.weight)).alias("weight")) for k, f in enumerate(fields)])
+
+
+def scored(pairs: DataFrame, fields: Sequence[MatchField], tables: dict[MatchField, DataFrame] | None = None) -> DataFrame:
     """pairs with score and field_scores, an array of (field_a, field_b, method, score, weight)."""
-    names = [f"_score_{k}" for k in range(len(fields))]
-    each = pairs.withColumns({n: field_score(f) for n, f in zip(names, fields)})
-    detail = F.array(*[F.struct(F.lit(f.names[0]).alias("field_a"), F.lit(f.names[1]).alias("field_b"), F.lit(f.method).alias("method"), F.col(n).alias("score"), F.lit(float(f.weight)).alias("weight")) for f, n in zip(fields, names)])
-    return each.withColumn("score", composite(fields, [F.col(n) for n in names])).withColumn("field_scores", detail).drop(*names)
+    each = with_scores(pairs, fields, tables)
+    return each.withColumn("field_scores", detail(fields)).drop(*[f"_score_{k}" for k in range(len(fields))])

@@ -14,7 +14,7 @@ from linkwright.plans import build, datasets, job
 from linkwright.plans import cache as vector_cache
 from linkwright.plans import config as cfg
 from linkwright.plans import fixtures as fx
-from linkwright.plans.catalogue import CLAIMED, COMMON, JUDGED, SA, TRUTH, _common, _judged, _outcomes, _part_ranks, query, r4
+from linkwright.plans.catalogue import CLAIMED, COMMON, JUDGED, PART_BLOCKS, SA, TRUTH, _common, _judged, _outcomes, _part_ranks, query, r4
 from linkwright.plans.catalogue import CB as CUSTOMERS
 from linkwright.plans.fixtures import AUTO, FLOOR, GAP, SCORED, SQL, TOP
 from linkwright.sources import readers, sinks
@@ -516,8 +516,9 @@ REACH = "reach AS (SELECT DISTINCT b_id FROM scored)"
 
 
 def _reach(spark, d):
+    """Of each part's block the first parts: those that reach any other, and a candidate besides itself and its truth."""
     a, b = fx.parts(spark, d, "a"), fx.parts(spark, d, "b")
-    return candidates.without_self(candidates.block_pairs(b, a, [("b_brand", "a_brand"), ("b_type", "a_type")], all_if_keyless=False))
+    return candidates.without_self(candidates.first_of_block(b, a, PART_BLOCKS, 3, all_if_keyless=False))
 
 
 @query(f"""WITH {JUDGED}, {REACH}, c AS (SELECT count(*) FILTER (true_a_id IS NOT NULL) AS true_pairs, count(*) FILTER (true_a_id IS NOT NULL AND b_id IN (SELECT b_id FROM reach)) AS ceiling,
