@@ -12,6 +12,7 @@ from linkwright.functions.encoder import Remote, encoded, onnx_encoder
 from linkwright.functions.scalar import combined, cosine, joined
 from linkwright.operators import candidates as gen
 from linkwright.operators import prematch, ranking, scoring, tables
+from linkwright.operators.best import BY_VALUE, best_candidates
 from linkwright.operators.settle import settled
 from linkwright.plans import cache as vector_cache
 from linkwright.plans.config import Config
@@ -111,6 +112,25 @@ def score_pairs(c: Config, pairs: DataFrame, a: DataFrame, b: DataFrame, bm25: D
     return scoring.scored(full, c.fields).select("b_id", "a_id", "score", "field_scores")
 
 
+def best_scores(c: Config, a: DataFrame, b: DataFrame, exclusions: DataFrame | None = None, groups: DataFrame | None = None, earlier: bool = False) -> DataFrame | None:
+    """The scores of what ranks to top_n need, where whole blocks are candidates and scores depend on values alone: found by
+    classes of equal values, without the pairs of blocks. None for other jobs. Records with exclusions are compared pair by
+    pair. With `earlier` (a_seq, b_seq) only pairs whose a_seq is smaller count."""
+    if c.candidates != "blocked" or not c.top_n or not {f.method for f in c.fields} <= BY_VALUE:
+        return None
+    named = [(f"b_{y}", f"a_{x}") for x, y in c.blocking]
+    find = lambda b: best_candidates(b, a, named, c.fields, max(2, c.top_n), earlier=earlier)  # noqa: E731  (the gap is to the second)
+    if exclusions is None:
+        return find(b)
+    marked = exclusions.select(F.col("b_id")).union(exclusions.select(F.col("a_id"))).distinct()
+    some = b.join(marked, "b_id", "left_semi")
+    pairs = candidate_pairs(c, a, some, groups)[0]
+    if earlier:
+        pairs = pairs.join(a.select("a_id", "a_seq"), "a_id").join(b.select("b_id", "b_seq"), "b_id").where("a_seq < b_seq").select("b_id", "a_id")
+    rest = score_pairs(c, gen.without_excluded(pairs, exclusions).select("b_id", "a_id"), a, b, None, groups)
+    return find(b.join(marked, "b_id", "left_anti")).unionByName(rest)
+
+
 def load_sides(spark: SparkSession, c: Config) -> tuple[DataFrame, DataFrame]:
     return tuple(readers.load(spark, d.path, d.id_field, s, c.required(s), d.kind, d.encoding) for s, d in (("a", c.a), ("b", c.b)))
 
@@ -135,11 +155,15 @@ def match(c: Config, a: DataFrame, b: DataFrame, crossmap: DataFrame, exclusions
     work = b.join(mapped.select("b_id"), "b_id", "left_anti") if prematching else b
     # what several generators read is kept: vectors are encoded once, and each phase is a plan of its own
     va, vb = settled(with_vectors(c, a, "a")), settled(with_vectors(c, work, "b"))
-    pairs, bm25 = candidate_pairs(c, va, vb, groups)
-    pairs = settled(pairs)
-    if exclusions is not None and prematching:
-        pairs = gen.without_excluded(pairs, exclusions)
-    ranks = ranking.ranked(score_pairs(c, pairs, va, vb, bm25, groups), c.auto, c.floor, c.min_gap, c.top_n)
+    exclusions = exclusions if prematching else None
+    scores = best_scores(c, va, vb, exclusions, groups)
+    if scores is None:
+        pairs, bm25 = candidate_pairs(c, va, vb, groups)
+        pairs = settled(pairs)
+        if exclusions is not None:
+            pairs = gen.without_excluded(pairs, exclusions)
+        scores = score_pairs(c, pairs, va, vb, bm25, groups)
+    ranks = ranking.ranked(scores, c.auto, c.floor, c.min_gap, c.top_n)
     ranks = settled(ranks)
     claims = ranking.claim(ranks, c.auto, mapped if prematching else None)
     found = ranking.outcomes(ranks, claims, work, c.auto, c.floor)
