@@ -167,3 +167,13 @@ def test_overlap_and_accuracy(spark):
     assert abs(analysis.overlap_coefficient(j).first()["overlap"] - 1 / 3) < 1e-9
     assert rows(analysis.overlap_zone(j, 0.6), "zone") == [("missed_near_floor",), ("review_match",)]
     assert analysis.histogram(j).agg(F.sum("n")).first()[0] == 5
+
+
+def test_a_large_block_is_shared_out(spark, monkeypatch):
+    """One block of 300 x 200 pairs leaves several tasks, none with more than a few shares of it, and no pair is lost."""
+    b = spark.range(300).selectExpr("cast(id as string) as b_id", "if(id < 299, 'k', '') as b_k")
+    a = spark.range(200).selectExpr("cast(id as string) as a_id", "'K ' as a_k")
+    monkeypatch.setattr(candidates, "SHARE", 1000)
+    got = candidates.block_pairs(b, a, [("b_k", "a_k")])
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == got.distinct().count() == 60_000 and len(sizes) > 5 and max(sizes) < 20_000
