@@ -190,9 +190,9 @@ def _matrix(columns: list[pa.Array]) -> np.ndarray:
 
 
 def corpus_stats(pool: DataFrame, text: str = "a_text") -> DataFrame:
-    """One row: docs, all_tokens, average."""
+    """One row: docs, all_tokens, average (null without docs)."""
     n = F.size(tokens(F.col(text)))
-    return pool.select(n.cast("long").alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_tokens")).withColumn("average", F.col("all_tokens") / F.col("docs"))
+    return pool.select(n.cast("long").alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_tokens")).withColumn("average", F.try_divide("all_tokens", "docs"))
 
 
 def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -177,3 +177,10 @@ def test_a_large_block_is_shared_out(spark, monkeypatch):
     got = candidates.block_pairs(b, a, [("b_k", "a_k")])
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == got.distinct().count() == 60_000 and len(sizes) > 5 and max(sizes) < 20_000
+
+
+def test_bm25_without_a_pool(spark):
+    """The average length of no documents is no error."""
+    a, b = spark.createDataFrame([], "a_id string, a_text string, a_k string"), spark.createDataFrame([("1", "one two", "u")], "b_id string, b_text string, b_k string")
+    assert candidates.corpus_stats(a).first()["average"] is None
+    assert candidates.bm25_top(b, a, 5, [("b_k", "a_k")]).collect() == []
